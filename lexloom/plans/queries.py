@@ -1,0 +1,4 @@
+"""The reference's operators as queries over the driver's tables."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
