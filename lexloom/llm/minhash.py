@@ -1,0 +1,232 @@
+"""MinHash near-dedup with HyperMinHash sketches.
+
+Each text's set of word shingles becomes 256 registers. A register keeps of the least hash dealt to it the count of
+leading zeros and ten mantissa bits; empty registers borrow from others in an order fixed per register, so short texts
+have full sketches. Bands of registers are the join keys. The documents of a key are compared with its smallest one
+first: a star, not all pairs. Only documents that a star leaves outside are compared with the rest of their key. Pairs
+pass a size bound and the collision-corrected estimate before the sets of the whole texts decide.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexloom.llm.components import components
+from lexloom.session import materialize
+
+REGISTERS, MANTISSA = 256, 10
+MISS = 1e-4  # most that the bands may miss of pairs just at the threshold
+MASK = np.uint64((1 << 56) - 1)
+_CASE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+class _Hashes(dict):
+    """Word to hash; forgets all beyond a million words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of the whole text: A-Z in lower case, words between ASCII white
+    space. A text of fewer words is one shingle, one without words none."""
+    words = (text or "").encode().translate(_CASE).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    k = min(size, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        out = _mix(out + h[j : len(h) - k + 1 + j])
+    return np.unique(out)
+
+
+_ORDER = np.argsort(_mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(1 << 40)).reshape(REGISTERS, REGISTERS), axis=1)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The registers (uint16) of a sorted set; zeros if it is empty."""
+    out = np.zeros(REGISTERS, np.uint16)
+    if not len(hashes):
+        return out
+    at = (hashes >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    m, e = np.frexp((hashes[first] & MASK).astype(np.float64))
+    out[at[first]] = ((57 - e) << MANTISSA) | np.maximum((m * 2 - 1) * (1 << MANTISSA), 0).astype(np.int64)
+    empty = np.flatnonzero(out == 0)
+    if len(empty):
+        order = _ORDER[empty]
+        out[empty] = out[order[np.arange(len(empty)), (out != 0)[order].argmax(1)]]
+    return out
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from rows of registers, less the chance that different hashes share a register's bits."""
+    chance = 0.7213 / (1 << MANTISSA) * (n_a * n_b / np.square(n_a + n_b, dtype=np.float64))
+    return ((a == b).mean(1) - chance) / (1 - chance)
+
+
+def bands(threshold: float) -> tuple[int, int]:
+    """Number and length of the bands: the longest that miss at most MISS of pairs at the threshold."""
+    fit = [r for r in range(1, 17) if (1 - threshold**r) ** (REGISTERS // r) <= MISS]
+    r = max(fit, default=1)
+    return REGISTERS // r, r
+
+
+def band_keys(registers: np.ndarray, n: int, r: int) -> np.ndarray:
+    """A 64-bit key for each band of each row."""
+    x = registers[:, : n * r].reshape(len(registers), n, r).astype(np.uint64)
+    out = np.broadcast_to(np.arange(n, dtype=np.uint64), x.shape[:2])
+    for j in range(r):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + x[:, :, j])
+    return out.view(np.int64)
+
+
+def _sketches(df: DataFrame, size: int) -> DataFrame:
+    kinds = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("registers", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                h = shingle_set(text.as_py(), size)
+                rows.append((len(h), h.sum(dtype=np.uint64).view(np.int64), _mix(h).sum(dtype=np.uint64).view(np.int64), sketch(h).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kinds.types[k + 1]) for k in range(4))], schema=kinds)
+
+    return df.mapInArrow(run, "id long, n long, s1 long, s2 long, registers binary")
+
+
+def _banded(reps: DataFrame, threshold: float) -> DataFrame:
+    """key, id, n of every band."""
+    many, r = bands(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                keys = band_keys(x, many, r)
+                row = pa.array(np.repeat(np.arange(batch.num_rows), many))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(row), batch.column(1).take(row)], names=["key", "id", "n"])
+
+    return reps.select("id", "n", "registers").mapInArrow(run, "key long, id long, n long")
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule out the threshold: five standard errors below it."""
+    t = percent / 100
+    least = t - 5 * math.sqrt(t * (1 - t) / REGISTERS)
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c = dict(zip(batch.schema.names, batch.columns, strict=True))
+                a, b = (np.frombuffer(b"".join(c[x].to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in ("ra", "rb"))
+                keep = estimate(a, b, c["na"].to_numpy().astype(np.float64), c["nb"].to_numpy().astype(np.float64)) >= least
+                yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(keep)), c["b"].filter(pa.array(keep))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+STAR = 64  # members compared with one copy of their centre's text
+
+
+def verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on the sets of the whole texts (id, text).
+
+    The texts of a star meet by centre, at most STAR members to a share of it, and stream past the centre's set; no task
+    holds more than that set and a batch.
+    """
+    pairs = materialize(pairs.distinct(), "minhash-pairs")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("shares"))
+    members = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), F.col("b").alias("id"))
+    centres = members.select("a", "share").distinct().withColumn("id", F.col("a"))
+    wanted = materialize(members.unionByName(centres), "minhash-wanted")
+    rows = texts.join(wanted, "id").select("a", "share", "id", "text", (F.col("id") != F.col("a")).alias("member"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, centre = None, []
+        for batch in batches:
+            found = []
+            a, share, id_, text, member = batch.columns
+            for k, (x, y, i, m) in enumerate(zip(a.to_pylist(), share.to_pylist(), id_.to_pylist(), member.to_pylist(), strict=True)):
+                h = shingle_set(text[k].as_py(), size)
+                if (x, y) != star:
+                    star, centre = (x, y), []
+                if not m:
+                    centre.append(h)  # rows that repeat an id may differ in text
+                    continue
+                for c in centre:
+                    both = len(np.intersect1d(c, h, assume_unique=True))
+                    if both and 100 * both >= percent * (len(c) + len(h) - both):
+                        found.append((x, i))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    near = rows.repartition("a", "share").sortWithinPartitions("a", "share", "member")
+    return materialize(near.mapInArrow(run, "a long, b long"), "minhash-links")
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links) and kept (the id is that one), row by row.
+
+    Links are pairs whose shingle sets have 100 * intersection >= percent * union. Null, empty and blank texts have no
+    shingle and no link. A null id has component_id null, is kept and links with nothing. Rows that repeat an id are one
+    node, linked if any of their texts is. Sets are compared by 64-bit shingle hashes. Other columns are not read.
+    """
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    all_ = materialize(_sketches(texts, size), "minhash-sketches")
+    # Equal sets are one node. Only sets that occur more than once join back.
+    copies = all_.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many"))
+    copies = materialize(copies.filter("many > 1").drop("many"), "minhash-copies")
+    rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
+    nodes = all_.join(copies, ["n", "s1", "s2"], "left").select("id", "n", rep.alias("rep"), F.when(rep == F.col("id"), F.col("registers")).alias("registers"))
+    nodes = materialize(nodes, "minhash-nodes")
+    reps = nodes.filter("id = rep AND n > 0").select("id", "n", "registers")
+    banded = _banded(reps, percent / 100)
+    keys = banded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last"))
+    keys = materialize(keys.filter("centre <> last").select(F.col("key").alias("k"), "centre"), "minhash-keys")
+    found = materialize(banded.join(keys, F.col("key") == F.col("k")).select("key", "id", "n", "centre"), "minhash-buckets")
+    fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+    sizes = reps.select(F.col("id").alias("c"), F.col("n").alias("c_n"))
+    star = found.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), "n").distinct()
+    star = star.join(sizes, F.col("a") == F.col("c")).filter(fits("n", "c_n")).select("a", "b")
+    links = verify(_likely(star, reps, percent), texts, percent, size)
+    part = materialize(components(_edges(links)), "minhash-parts")
+    # Whoever is not in the centre's component by now is compared with the others of its key that are in other components.
+    of = lambda x, y: part.select(F.col("node").alias(x), F.col("component").alias(y))
+    placed = found.join(of("i", "i_part"), F.col("id") == F.col("i"), "left").join(of("c", "c_part"), F.col("centre") == F.col("c"), "left")
+    placed = placed.select("key", "id", "n", "centre", F.coalesce("i_part", "id").alias("part"), F.coalesce("c_part", "centre").alias("centre_part"))
+    outside = materialize(placed.filter("part <> centre_part"), "minhash-outside")
+    others = placed.join(outside.select("key").distinct(), "key", "left_semi").filter("id <> centre")
+    x, y = outside.select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp")), others.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"))
+    more = x.join(y, "key").filter("xp <> yp").filter(fits("xn", "yn")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = links.unionByName(verify(_likely(more, reps, percent), texts, percent, size))
+    part = components(_edges(links))
+    out = nodes.select("id", "n", "rep").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    component = F.coalesce("component", "rep")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

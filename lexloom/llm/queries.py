@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, chat, media, mixing, warc
+from lexloom.llm import bpe, chat, embeddings, lines, media, minhash, mixing, warc
 from lexloom.session import table
 
 
@@ -43,6 +43,22 @@ JOIN kept k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h
 """
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE x AS (
+  SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM x a JOIN x b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.u = e.vec_id)::BIGINT AS n_links, component_id, component_id = e.vec_id AS kept
+FROM embeddings e JOIN least ON u = e.vec_id
+"""
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
     read = media.read_media(media.to_media(docs).drop("text"))
@@ -72,6 +88,45 @@ FROM p JOIN g ON p.h = g.h
 """
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3)::INT[], lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+r AS (SELECT DISTINCT a.doc_id AS d, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM s a GROUP BY a.doc_id),
+rep AS (SELECT d, min(d) OVER (PARTITION BY h) AS rep FROM r),
+one AS (SELECT * FROM s WHERE doc_id IN (SELECT rep FROM rep)),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM one a JOIN one b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM common JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)
+  UNION SELECT rep, d FROM rep WHERE rep <> d),
+both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN both_ways l ON r.v = l.u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, m.component_id = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) m ON m.u = d.doc_id
+"""
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP8_SQL = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM l),
+b AS (SELECT k, min((doc_id, pos)) AS first FROM t WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
+f AS (SELECT t.doc_id, t.pos, t.line, b.k IS NOT NULL AND (t.doc_id, t.pos) <> b.first AS gone FROM t LEFT JOIN b ON t.k = b.k),
+g AS (SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, g.text FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     out = bpe.decode(ids)
@@ -106,5 +161,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_media": op3_media, "op4_warc": op4_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op4_warc": OP4_SQL, "op10_chat": OP10_SQL}
+QUERIES = {
+    "op1_mixing": op1_mixing, "op2_embeddings": op2_embeddings, "op3_media": op3_media, "op4_warc": op4_warc, "op6_minhash": op6_minhash,
+    "op7_bpe": op7_bpe, "op8_lines": op8_lines, "op10_chat": op10_chat,
+}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_embeddings": OP2_SQL, "op4_warc": OP4_SQL, "op6_minhash": OP6_SQL, "op8_lines": OP8_SQL, "op10_chat": OP10_SQL}
