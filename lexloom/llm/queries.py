@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, chat, embeddings, lines, media, minhash, mixing, warc
+from lexloom.llm import bpe, chat, embeddings, lines, lm, media, minhash, mixing, quality, warc
 from lexloom.session import table
 
 
@@ -88,6 +88,17 @@ FROM p JOIN g ON p.h = g.h
 """
 
 
+def _part(id_: str, n: int) -> Column:
+    return F.crc32(F.coalesce(F.col(id_).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _part("doc_id", 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.classify(docs, table(spark, sf_dir, "labels"), trains=~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -136,6 +147,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(table(spark, sf_dir, "documents"), trains=_part("doc_id", 10) != 0)
+    return out.withColumnRenamed("id", "doc_id").withColumn("held_out", _part("doc_id", 10) == 0)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
@@ -162,7 +178,7 @@ FROM c GROUP BY conv_id
 """
 
 QUERIES = {
-    "op1_mixing": op1_mixing, "op2_embeddings": op2_embeddings, "op3_media": op3_media, "op4_warc": op4_warc, "op6_minhash": op6_minhash,
-    "op7_bpe": op7_bpe, "op8_lines": op8_lines, "op10_chat": op10_chat,
+    "op1_mixing": op1_mixing, "op2_embeddings": op2_embeddings, "op3_media": op3_media, "op4_warc": op4_warc, "op5_quality": op5_quality,
+    "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op8_lines": op8_lines, "op9_lm": op9_lm, "op10_chat": op10_chat,
 }
 ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_embeddings": OP2_SQL, "op4_warc": OP4_SQL, "op6_minhash": OP6_SQL, "op8_lines": OP8_SQL, "op10_chat": OP10_SQL}
