@@ -1,4 +1,314 @@
-"""The reference's operators as queries over the driver's tables."""
+"""The engine's operators as queries over whole tables, and their SQL where SQL can express them at a bearable cost.
+
+Hashes over bytes, stems and greedy rounds have none: tests compare those with literal models on small inputs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.functions import stem, unicode
+from lexloom.functions.text import LOWER, UPPER, ascii_lower, words
+from lexloom.operators import index, shingles
+from lexloom.session import table
+from lexloom.sources import pages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.parse_text(table(spark, sf_dir, "documents"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.parse_html(table(spark, sf_dir, "pages"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("word"))
+
+
+# SQL parts
+
+WORD = r"'[^\x20\x09-\x0D]+'"
+
+
+def _sql_lower(x: str) -> str:
+    return f"translate({x}, '{UPPER}', '{LOWER}')"
+
+
+DOC_OCC = f"""
+w AS (SELECT doc_id, regexp_extract_all({_sql_lower("coalesce(text, '')")}, {WORD}) AS w FROM documents),
+k AS (SELECT doc_id, list_concat(w, ['%', '##doc://' || doc_id]) AS k, list_concat(list_transform(w, lambda x: 'b'), ['e', 'u']) AS ty FROM w),
+n AS (SELECT doc_id, len(k)::BIGINT AS n, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS seq,
+  coalesce(sum(len(k)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM k),
+occ AS (SELECT 0::BIGINT AS chunk_id, unnest(k) AS key, unnest(ty) AS type, seq AS doc_seq, start + unnest(range(0, len(k))) AS pos FROM k JOIN n USING (doc_id))
+"""
+STATS = """
+s AS (SELECT chunk_id, key, arg_min(type, pos) AS type, count(*)::BIGINT AS use_count, count(DISTINCT doc_seq)::BIGINT AS doc_count,
+  (count(DISTINCT doc_seq) + CASE WHEN min(doc_seq) > 0 THEN 1 ELSE 0 END)::BIGINT AS reference_doc_count FROM occ GROUP BY chunk_id, key)
+"""
+
+
+def _sql_visible(x: str) -> str:
+    x = f"regexp_replace({x}, '{pages.TAG}', ' ', 'g')"
+    for entity, char in pages.ENTITIES:
+        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_extract_all({x}, {WORD})"
+
+
+_q = lambda pattern: pattern.replace("'", "''")
+PAGE_TOKENS = f"""
+h AS (SELECT page_id AS doc_id, url, regexp_extract(url, '^([^:]*)://', 1) AS service, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS host,
+  regexp_replace(coalesce(html, ''), '{pages.HIDDEN}', ' ', 'g') AS html FROM pages),
+p AS (SELECT doc_id, url, service, host,
+  {_sql_visible(f"CASE WHEN regexp_matches(html, '{pages.BODY}') THEN regexp_extract(html, '{pages.BODY}', 1) ELSE regexp_replace(html, '{pages.TITLE}', ' ', 'g') END")} AS body,
+  flatten(list_transform(regexp_extract_all(html, '{pages.HEADING}', 1), lambda x: {_sql_visible("x")})) AS head,
+  {_sql_visible(f"regexp_extract(html, '{pages.TITLE}', 1)")} AS title,
+  list_zip(regexp_extract_all(html, '{_q(pages.LINK)}', 1), list_transform(regexp_extract_all(html, '{_q(pages.LINK)}', 2), lambda x: {_sql_visible("x")})) AS links FROM h),
+t AS (SELECT doc_id, list_concat(
+  list_transform(body, lambda x: {{'key': {_sql_lower("x")}, 'type': 'b'}}), list_transform(head, lambda x: {{'key': '<' || {_sql_lower("x")}, 'type': 'b'}}),
+  list_transform(title, lambda x: {{'key': '@' || {_sql_lower("x")}, 'type': 't'}}),
+  flatten(list_transform(links, lambda l: list_concat(list_transform(l[2], lambda x: {{'key': '$' || {_sql_lower("x")}, 'type': 'a'}}),
+    [{{'key': CASE WHEN substr(l[1], length(service) + 4, length(host)) = host THEN '#1' ELSE '#0' END || l[1], 'type': 'u'}}]))),
+  [{{'key': '%', 'type': 'e'}}, {{'key': '##' || url, 'type': 'u'}}]) AS t FROM p),
+tok AS (SELECT doc_id, offset_ AS "offset", x.key AS key, x.type AS type FROM (SELECT doc_id, unnest(t) AS x, unnest(range(0, len(t))) AS offset_ FROM t))
+"""
+
+
+# indexing
+
+
+@query(f"SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w)))::INT AS pos FROM (SELECT doc_id, regexp_extract_all({_sql_lower('text')}, {WORD}) AS w FROM documents)")
+def ascii_lower_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words(ascii_lower(F.col("text")))).alias("pos", "word"))
+
+
+@query(f"WITH {DOC_OCC}, {STATS} SELECT * FROM s")
+def postings_stats(spark, sf_dir):
+    return index.posting_stats(index.occurrences(_docs(spark, sf_dir)))
+
+
+@query(f"WITH {DOC_OCC} SELECT chunk_id, key, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY chunk_id, key ORDER BY pos) AS delta FROM occ")
+def posting_deltas(spark, sf_dir):
+    return index.deltas(index.occurrences(_docs(spark, sf_dir))).select("chunk_id", "key", "pos", "delta")
+
+
+SEEK = """
+i AS (SELECT chunk_id, key, pos, row_number() OVER (PARTITION BY chunk_id, key ORDER BY pos) - 1 AS i FROM occ),
+f AS (SELECT *, least(i + 1, i + min(length(bin(pos + 1)) - i) OVER (PARTITION BY chunk_id, key ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS full_ FROM i),
+sk AS (SELECT chunk_id, key, i::BIGINT AS index, (pos + 1)::BIGINT AS location FROM (SELECT *, lag(full_, 1, 0) OVER (PARTITION BY chunk_id, key ORDER BY pos) AS b FROM f) WHERE full_ > b)
+"""
+
+
+@query(f'WITH {DOC_OCC}, {SEEK} SELECT chunk_id, key, index AS "index", location FROM sk')
+def seek_table(spark, sf_dir):
+    return index.seek_rows(index.occurrences(_docs(spark, sf_dir)))
+
+
+@query(f"""WITH {DOC_OCC}, {STATS}, {SEEK},
+d AS (SELECT chunk_id, key, list(delta ORDER BY pos) AS deltas FROM (SELECT chunk_id, key, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY chunk_id, key ORDER BY pos) AS delta FROM occ) GROUP BY 1, 2),
+l AS (SELECT chunk_id, key, list({{'index': index, 'location': location}} ORDER BY index) AS seek FROM sk GROUP BY 1, 2)
+SELECT key, use_count, array_to_string(deltas, ',') AS deltas, array_to_string(list_transform(seek, lambda x: x.index || ':' || x.location), ',') AS seek
+FROM s JOIN d USING (chunk_id, key) JOIN l USING (chunk_id, key)""")
+def posting_lists(spark, sf_dir):
+    p = index.postings(index.occurrences(_docs(spark, sf_dir)))
+    seek = F.transform("seek", lambda x: F.concat(x["index"].cast("string"), F.lit(":"), x["location"].cast("string")))
+    return p.select("key", "use_count", F.array_join(F.col("deltas").cast("array<string>"), ",").alias("deltas"), F.array_join(seek, ",").alias("seek"))
+
+
+@query(f"""WITH {DOC_OCC}, d AS (SELECT pos - lag(pos, 1, 0) OVER (PARTITION BY chunk_id, key ORDER BY pos) AS x FROM occ)
+SELECT CASE WHEN x < 128 THEN 1 WHEN x < 2048 THEN 2 WHEN x < 65536 THEN 3 WHEN x < 2097152 THEN 4 WHEN x < 67108864 THEN 5 ELSE 6 END::INT AS n_bytes, count(*)::BIGINT AS posts FROM d GROUP BY 1""")
+def delta_bytes(spark, sf_dir):
+    d = index.deltas(index.occurrences(_docs(spark, sf_dir)))
+    return d.groupBy(index.delta_bytes(F.col("delta")).alias("n_bytes")).agg(F.count(F.lit(1)).alias("posts"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id = 0 THEN 1 ELSE floor(log2(doc_id))::INT + 1 END::INT AS bits FROM documents")
+def bits_needed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", index.bits_needed(F.col("doc_id")).alias("bits"))
+
+
+@query(f"WITH {DOC_OCC}, {STATS} SELECT * FROM s WHERE key = 'the'")
+def term_lookup(spark, sf_dir):
+    return index.find(index.posting_stats(index.occurrences(_docs(spark, sf_dir))), "the")
+
+
+@query(f"WITH {DOC_OCC}, {STATS} SELECT * FROM s WHERE key = '##doc://7'")
+def url_lookup(spark, sf_dir):
+    return index.find_url(index.posting_stats(index.occurrences(_docs(spark, sf_dir))), "doc://7")
+
+
+@query("SELECT 0::BIGINT AS chunk_id, seq AS doc_seq, 'doc://' || doc_id AS url FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS seq FROM documents) WHERE seq = 7")
+def doc_lookup(spark, sf_dir):
+    return index.get_document(index.documents(_docs(spark, sf_dir)), 7)
+
+
+@query(f"WITH {DOC_OCC}, {STATS} SELECT * FROM s ORDER BY use_count DESC, key LIMIT 50")
+def top_terms(spark, sf_dir):
+    return index.top_terms(index.posting_stats(index.occurrences(_docs(spark, sf_dir))), 50)
+
+
+@query(f"""WITH {DOC_OCC}, e AS (SELECT pos AS e_pos, doc_seq FROM occ WHERE key = '%' AND type = 'e')
+SELECT o.chunk_id, o.pos, e.doc_seq FROM (SELECT chunk_id, pos FROM occ WHERE type <> 'b') o ASOF LEFT JOIN e ON e.e_pos >= o.pos""")
+def position_documents(spark, sf_dir):
+    occ = index.occurrences(_docs(spark, sf_dir))
+    return index.document_of(occ, occ.filter("type <> 'b'"))
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, (len(regexp_extract_all(coalesce(text, ''), {WORD})) + 2)::BIGINT AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT doc_id, n AS n_tokens, i, 0::BIGINT AS chunk_id, 0::BIGINT AS doc_seq, 0::BIGINT AS start FROM w WHERE i = 1
+  UNION ALL SELECT w.doc_id, w.n, w.i, CASE WHEN doc_seq + 1 > 20 AND start + n_tokens > 8000 THEN chunk_id + 1 ELSE chunk_id END,
+    CASE WHEN doc_seq + 1 > 20 AND start + n_tokens > 8000 THEN 0 ELSE doc_seq + 1 END, CASE WHEN doc_seq + 1 > 20 AND start + n_tokens > 8000 THEN 0 ELSE start + n_tokens END
+  FROM r JOIN w ON w.i = r.i + 1)
+SELECT doc_id, n_tokens, chunk_id, doc_seq, start FROM r""")
+def chunk_assignment(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return index.assign_chunks(d.select("doc_id", index.token_count(d).alias("n_tokens")), max_docs=20, max_words=8000)
+
+
+@query(f"WITH {PAGE_TOKENS} SELECT * FROM tok")
+def page_tokens(spark, sf_dir):
+    return index.tokens(_pages(spark, sf_dir))
+
+
+@query(f"WITH {PAGE_TOKENS} SELECT substr(key, 1, 2) AS kind, substr(key, 3) AS url, count(*)::BIGINT AS n FROM tok WHERE type = 'u' GROUP BY 1, 2")
+def link_kinds(spark, sf_dir):
+    rows = index.tokens(_pages(spark, sf_dir)).filter("type = 'u'")
+    return rows.groupBy(F.substring("key", 1, 2).alias("kind"), F.expr("substring(key, 3)").alias("url")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {PAGE_TOKENS} SELECT key, count(*)::BIGINT AS n FROM tok WHERE type = 't' GROUP BY 1")
+def page_title_terms(spark, sf_dir):
+    return index.tokens(_pages(spark, sf_dir)).filter("type = 't'").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {PAGE_TOKENS}, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
+c AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_seq, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n),
+occ AS (SELECT 0::BIGINT AS chunk_id, key, type, doc_seq, start + "offset" AS pos FROM tok JOIN c USING (doc_id)), {STATS} SELECT * FROM s""")
+def page_postings_stats(spark, sf_dir):
+    return index.posting_stats(index.occurrences(_pages(spark, sf_dir)))
+
+
+# near-duplicate detection
+
+
+@query()
+def shingle_hashes(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    return w.select("doc_id", F.posexplode(shingles.shingles(F.col("w"))).alias("pos", "hash"))
+
+
+def _signed(spark, sf_dir, name, id_col):
+    return shingles.add_signatures(table(spark, sf_dir, name), id_col=id_col)
+
+
+@query()
+def signatures(spark, sf_dir):
+    s = _signed(spark, sf_dir, "documents", "doc_id")
+    return s.select(F.col("id").alias("doc_id"), "n_words", F.array_join(shingles.full_signature(F.col("sig")).cast("array<string>"), ",").alias("signature"))
+
+
+@query()
+def bands(spark, sf_dir):
+    s = _signed(spark, sf_dir, "documents", "doc_id")
+    return s.select(F.col("id").alias("doc_id"), F.posexplode(shingles.band_hashes(F.col("sig"))).alias("band", "band_hash"))
+
+
+@query()
+def similar_pairs(spark, sf_dir):
+    return shingles.similar_within(_signed(spark, sf_dir, "documents", "doc_id"))
+
+
+@query()
+def is_similar_semi(spark, sf_dir):
+    hit = shingles.is_similar(_signed(spark, sf_dir, "documents", "doc_id"), _signed(spark, sf_dir, "benchmark", "item_id"))
+    return hit.select(F.col("id").alias("doc_id"), "similar")
+
+
+@query()
+def novel_anti(spark, sf_dir):
+    return shingles.novel(_signed(spark, sf_dir, "documents", "doc_id"), _signed(spark, sf_dir, "benchmark", "item_id")).select(F.col("id").alias("doc_id"))
+
+
+@query()
+def greedy_dedup(spark, sf_dir):
+    return shingles.greedy_dedup(_signed(spark, sf_dir, "documents", "doc_id")).select(F.col("id").alias("doc_id"))
+
+
+# normalisation and Unicode
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), {WORD})) AS word FROM documents)
+SELECT word, regexp_replace(lower(strip_accents(replace(word, 'ß', 'ss'))), '[^0-9a-z]', '', 'g') AS standard FROM w""")
+def standardize_words(spark, sf_dir):
+    return stem.normalise_words(_words(spark, sf_dir)).select("word", "standard")
+
+
+@query()
+def stem_words(spark, sf_dir):
+    return stem.normalise_words(_words(spark, sf_dir)).select("word", "stem")
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS nfc FROM documents")
+def unicode_nfc(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", unicode.normalized(F.col("text"), "NFC").alias("nfc"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS nfc FROM documents")
+def unicode_nfd_round_trip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", unicode.normalized(unicode.normalized(F.col("text"), "NFD"), "NFC").alias("nfc"))
+
+
+@query()
+def unicode_nfkd(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", unicode.normalized(F.col("text"), "NFKD").alias("nfkd"), unicode.normalized(F.col("text"), "NFKC").alias("nfkc"))
+
+
+@query("SELECT doc_id, length_grapheme(text)::BIGINT AS n FROM documents")
+def grapheme_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", unicode.grapheme_count(F.col("text")).alias("n"))
+
+
+@query("SELECT doc_id, lower(text) AS low FROM documents")
+def unicode_lower(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", unicode.simple_lower(F.col("text")).alias("low"))
+
+
+@query()
+def unicode_casefold(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", unicode.nfkc_casefold(F.col("text")).alias("folded"))
+
+
+@query()
+def unicode_strip(spark, sf_dir):
+    options = unicode.STABLE | unicode.DECOMPOSE | unicode.COMPAT | unicode.CASEFOLD | unicode.STRIPMARK
+    return table(spark, sf_dir, "documents").select("doc_id", unicode.mapped(F.col("text"), options).alias("stripped"))
+
+
+def _characters(spark, sf_dir):
+    chars = F.array_distinct(F.split(F.coalesce(F.col("text"), F.lit("")), ""))
+    return table(spark, sf_dir, "documents").select(F.explode(chars).alias("ch")).filter("ch <> ''").distinct()
+
+
+@query()
+def unicode_properties(spark, sf_dir):
+    c = F.col("ch")
+    return _characters(spark, sf_dir).select("ch", unicode.category(c).alias("category"), unicode.display_width(c).alias("width"), unicode.ambiguous_width(c).alias("ambiguous"), unicode.is_lower(c).alias("is_lower"), unicode.is_upper(c).alias("is_upper"), unicode.simple_upper(c).alias("upper"), unicode.simple_title(c).alias("title"))
+
+
+@query("SELECT DISTINCT unnest(string_split(text, '')) AS ch, unicode(unnest(string_split(text, '')))::INT AS code FROM documents")
+def code_points(spark, sf_dir):
+    return _characters(spark, sf_dir).select("ch", F.ascii("ch").alias("code"))
