@@ -62,6 +62,7 @@ def chosen_paths(messages: DataFrame) -> DataFrame:
     path = best.select("root", "leaf.id", F.col("leaf.step").alias("turn"))
     for k in range(len(jumps) - 1, -1, -1):  # the leaf, then with each table all nodes 2^k above those found
         j = jumps[k].filter("up IS NOT NULL").select(F.col("id").alias("j"), F.col("up").alias("j_up"))
+        path = materialize(path, "chat-path")  # it is read twice
         path = path.unionByName(path.join(j, _same("id", "j")).select("root", F.col("j_up").alias("id"), (F.col("turn") - (1 << k)).alias("turn")))
     return path.select("id.conv", F.col("root.msg").alias("root"), "id.msg", "turn")
 
