@@ -73,6 +73,21 @@ def _characters(points: pa.Array) -> pa.Array:
     return pa.array([chr(x) if x is not None and 0 <= x < 0x110000 and not 0xD800 <= x < 0xE000 else None for x in points.to_pylist()], pa.string())
 
 
+def valid_utf8(data: Column) -> Column:
+    """Strict: no overlong forms, surrogates or code points above 10FFFF."""
+    return F.is_valid_utf8(data)
+
+
+def code_points(c: Column) -> Column:
+    """array<int> of a text's code points."""
+    return _udf(lambda s: [*map(ord, s)], "array<int>", pa.list_(pa.int32()))(c)
+
+
+def from_code_points(points: Column) -> Column:
+    """The text of an array of code points; those that are none are left out."""
+    return _udf(lambda p: "".join(chr(x) for x in p if x is not None and 0 <= x < 0x110000 and not 0xD800 <= x < 0xE000), "string", pa.string())(points)
+
+
 def _udf(f: Callable, kind: str, arrow: pa.DataType) -> Callable[[Column], Column]:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if x is None else f(x) for x in texts.to_pylist()], arrow)

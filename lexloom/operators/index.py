@@ -99,6 +99,45 @@ def bits_needed(n: Column) -> Column:
     return F.length(F.bin(n))
 
 
+def post_code(delta: Column) -> Column:
+    """The bytes of a delta below 2**31: a lead byte whose leading ones count the bytes, then six bits to a byte; one byte
+    below 128. Hexadecimal digits are put together natively and turned into bytes."""
+    byte = lambda value: F.lpad(F.hex(value), 2, "0")
+    tail = lambda k: byte(F.shiftright(delta, 6 * k).bitwiseAND(F.lit(63)) + 128)
+    code = byte(delta)
+    out = F.when(delta_bytes(delta) == 1, code)
+    for n, lead in ((2, 0xC0), (3, 0xE0), (4, 0xF0), (5, 0xF8), (6, 0xFC)):
+        out = out.when(delta_bytes(delta) == n, F.concat(byte(F.shiftright(delta, 6 * (n - 1)) + lead), *[tail(k) for k in range(n - 2, -1, -1)]))
+    return F.unhex(out)
+
+
+def post_length(code: Column) -> Column:
+    """Bytes of a post, from its lead byte."""
+    lead = F.conv(F.hex(F.substring(code, 1, 1)), 16, 10).cast("int")
+    out = F.when(lead < 0x80, 1)
+    for n, most in ((2, 0xE0), (3, 0xF0), (4, 0xF8), (5, 0xFC), (6, 0xFE)):
+        out = out.when((lead >= 0xC0) & (lead < most), n)
+    return out
+
+
+def post_delta(code: Column) -> Column:
+    """The delta that a post's bytes stand for."""
+    n, at = post_length(code), lambda k: F.conv(F.hex(F.substring(code, k, 1)), 16, 10).cast("long")
+    out = F.when(n == 1, at(1))
+    for size in range(2, 7):
+        value = at(1).bitwiseAND(F.lit((1 << (7 - size)) - 1))
+        for k in range(2, size + 1):
+            value = value * 64 + at(k) - 128
+        out = out.when(n == size, value)
+    return out
+
+
+def post_bits(code: Column) -> Column:
+    """The bytes of a post as groups of eight binary digits."""
+    digits = F.lpad(F.conv(F.hex(code), 16, 2), 8 * 6, "0")
+    return F.trim(F.regexp_replace(F.substring(F.lpad(digits, 48, "0"), F.lit(49) - 8 * post_length(code), 8 * post_length(code)), "(.{8})", "$1 "))
+
+
 def seek_rows(occ: DataFrame) -> DataFrame:
     """chunk_id, key, index, location of the seek tables: at most one row per post, whenever its location (pos + 1) reaches
     the next power of two. A running minimum over the key's posts gives the rows without a loop."""

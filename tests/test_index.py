@@ -104,3 +104,15 @@ def test_html(spark):
 def test_empty_tables(spark):
     none = parsed(spark).limit(0)
     assert index.postings(index.occurrences(none)).count() == 0 and index.documents(none).count() == 0
+
+
+def test_posts(spark):
+    values = [0, 1, 127, 128, 2047, 2048, 65535, 65536, (1 << 21) - 1, 1 << 21, (1 << 26) - 1, 1 << 26, (1 << 31) - 1]
+    df = spark.createDataFrame([(x,) for x in values], "n long").withColumn("code", index.post_code(F.col("n")))
+    got = df.select("n", "code", index.post_length(F.col("code")), index.post_delta(F.col("code")), index.post_bits(F.col("code"))).collect()
+    for n, code, size, back, bits in got:
+        code = bytes(code)
+        assert back == n and size == len(code) and bits == " ".join(f"{b:08b}" for b in code)
+        if n < 0x110000 and not 0xD800 <= n < 0xE000:
+            assert code == chr(n).encode()
+    assert [len(bytes(r[1])) for r in got] == [1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6]

@@ -60,3 +60,7 @@ def test_unicode_columns(spark):
     assert e[1][0] == "Invalid UTF-8 string" and e[2][0] == unicode.UNKNOWN_ERROR
     b = spark.createDataFrame([(0x41,), (0x80,), (0xC3,), (0xE2,), (0xF0,), (0xFF,)], "b int").select(unicode.sequence_length(F.col("b"))).collect()
     assert [r[0] for r in b] == [1, 0, 2, 3, 4, 0]
+    p = df.select(c, unicode.code_points(c).alias("p")).select("t", "p", unicode.from_code_points(F.col("p")).alias("back")).collect()
+    assert all(r["back"] == r["t"] and (r["t"] is None or r["p"] == [*map(ord, r["t"])]) for r in p)
+    v = spark.createDataFrame([(b"a\xc3\xa9",), (b"\xc0\x80",), (b"\xed\xa0\x80",)], "b binary").select(unicode.valid_utf8(F.col("b").cast("string"))).collect()
+    assert [r[0] for r in v] == [True, False, False]
