@@ -44,24 +44,26 @@ def chosen_paths(messages: DataFrame) -> DataFrame:
     parents = known.select(F.col("id").alias("up"), F.col("score").alias("up_score"))
     nodes = known.join(parents, _same("wish", "up"), "left").select("id", "up", "score", F.coalesce("up_score", F.lit(0.0)).alias("gain"))
     # up is the ancestor 2^k above, step and gain count and sum the ancestors up to it, root is set once they reach it.
+    # A message that has reached its root is done and joins no more, so a few deep trees cost the others nothing.
     step = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
     at = materialize(nodes.withColumn("step", step).withColumn("root", F.when(F.col("up").isNull(), F.col("id"))), "chat-jumps")
-    jumps, limit = [at.select("id", "up")], at.count()
-    while (1 << len(jumps)) <= 2 * limit and not jumps[-1].filter("up IS NOT NULL").isEmpty():
-        b = at.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "up", "gain", "step", "root")])
-        at = at.join(b, _same("up", "b_id"), "left").select(
-            "id", F.col("b_up").alias("up"), "score", (F.col("gain") + F.coalesce("b_gain", F.lit(0.0))).alias("gain"),
-            (F.col("step") + F.coalesce("b_step", F.lit(0))).alias("step"), F.coalesce("root", "b_root").alias("root"),
-        )
+    every, open_ = at.filter("up IS NULL"), at.filter("up IS NOT NULL")
+    jumps, limit = [open_.select("id", "up")], at.count()
+    while (1 << len(jumps)) <= 2 * limit and not open_.isEmpty():
+        b = every.unionByName(open_).select(*[F.col(c).alias(f"b_{c}") for c in ("id", "up", "gain", "step", "root")])
+        at = open_.join(b, _same("up", "b_id")).select(
+            "id", F.col("b_up").alias("up"), "score", (F.col("gain") + F.col("b_gain")).alias("gain"), (F.col("step") + F.col("b_step")).alias("step"), F.col("b_root").alias("root")
+        )
         at = materialize(at, "chat-jumps")
-        jumps.append(at.select("id", "up"))
-    inner = jumps[0].filter("up IS NOT NULL").select(F.col("up").alias("p")).distinct()
-    leaves = at.filter("root IS NOT NULL").join(inner, _same("id", "p"), "left_anti")
+        every, open_ = every.unionByName(at.filter("up IS NULL")), at.filter("up IS NOT NULL")
+        jumps.append(open_.select("id", "up"))
+    inner = jumps[0].select(F.col("up").alias("p")).distinct()
+    leaves = every.join(inner, _same("id", "p"), "left_anti")
     rank = F.struct((F.col("gain") + F.col("score")).alias("score"), "step", (-F.col("id.msg")).alias("msg"))
     best = leaves.groupBy("root").agg(F.max_by(F.struct("id", "step"), rank).alias("leaf"))
     path = best.select("root", "leaf.id", F.col("leaf.step").alias("turn"))
     for k in range(len(jumps) - 1, -1, -1):  # the leaf, then with each table all nodes 2^k above those found
-        j = jumps[k].filter("up IS NOT NULL").select(F.col("id").alias("j"), F.col("up").alias("j_up"))
+        j = jumps[k].select(F.col("id").alias("j"), F.col("up").alias("j_up"))
         path = materialize(path, "chat-path")  # it is read twice
         path = path.unionByName(path.join(j, _same("id", "j")).select("root", F.col("j_up").alias("id"), (F.col("turn") - (1 << k)).alias("turn")))
     return path.select("id.conv", F.col("root.msg").alias("root"), "id.msg", "turn")
