@@ -3,8 +3,9 @@
 Each text's set of word shingles becomes 256 registers. A register keeps of the least hash dealt to it the count of
 leading zeros and ten mantissa bits; empty registers borrow from others in an order fixed per register, so short texts
 have full sketches. Bands of registers are the join keys. The documents of a key are compared with its smallest one
-first: a star, not all pairs. Only documents that a star leaves outside are compared with the rest of their key. Pairs
-pass a size bound and the collision-corrected estimate before the sets of the whole texts decide.
+first: a star, not all pairs. Pairs of a star pass a size bound and the collision-corrected estimate before the sets of
+the whole texts decide. Documents that their stars leave outside meet all others of the same centre in blocks, where one
+inverted index counts the common shingles; out of a block comes one link per document and component, never the pairs.
 """
 
 from __future__ import annotations
@@ -149,6 +150,12 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 STAR = 64  # members compared with one copy of their centre's text
+SIDE = 128  # texts on each side of a block
+BROADCAST_ROWS = 500_000  # tables of ids up to this size are broadcast, larger ones shuffled
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -162,7 +169,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
     members = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), F.col("b").alias("id"))
     centres = members.select("a", "share").distinct().withColumn("id", F.col("a"))
     wanted = materialize(members.unionByName(centres), "minhash-wanted")
-    rows = texts.join(wanted, "id").select("a", "share", "id", "text", (F.col("id") != F.col("a")).alias("member"))
+    rows = texts.join(_small(wanted), "id").select("a", "share", "id", "text", (F.col("id") != F.col("a")).alias("member"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, centre = None, []
@@ -187,6 +194,54 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
     return materialize(near.mapInArrow(run, "a long, b long"), "minhash-links")
 
 
+def _common(sets: list[np.ndarray], one: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many hashes one shares with each of the sets; index: all their hashes in order, and whose each is."""
+    hashes, owners = index
+    first, last = np.searchsorted(hashes, one, "left"), np.searchsorted(hashes, one, "right")
+    n = last - first
+    at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.bincount(owners[at], minlength=len(sets))
+
+
+def verify_blocks(outside: DataFrame, members: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) between outside and members (centre, id, part) of one centre in different parts, on the sets of the whole
+    texts; of a document's links into one part only one. Sides above SIDE texts are split, and each pair of parts of the
+    sides is a task of bounded size."""
+    n = lambda df, name: df.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias(name))
+    shape = materialize(n(outside, "xs").join(n(members, "ys"), "centre"), "minhash-shape")
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
+    own = lambda m: F.pmod(F.xxhash64("id"), F.col(m))
+    x = outside.join(shape, "centre").select("centre", own("xs").alias("i"), "id", "part", F.lit(True).alias("x"), "ys").withColumn("j", every("ys")).drop("ys")
+    y = members.join(shape, "centre").select("centre", own("ys").alias("j"), "id", "part", F.lit(False).alias("x"), "xs").withColumn("i", every("xs")).drop("xs")
+    wanted = materialize(x.unionByName(y), "minhash-blocks")
+    rows = texts.join(_small(wanted), "id").select("centre", "i", "j", "x", "id", "part", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, parts, sets, index = None, [], [], [], None
+        for batch in batches:
+            found = []
+            text = batch.column(6)
+            for k, (c, i, j, is_x, id_, part) in enumerate(zip(*(v.to_pylist() for v in batch.columns[:6]), strict=True)):
+                if (c, i, j) != block:
+                    block, ids, parts, sets, index = (c, i, j), [], [], [], None
+                h = shingle_set(text[k].as_py(), size)
+                if not is_x:
+                    ids, parts, sets = [*ids, id_], [*parts, part], [*sets, h]
+                    continue
+                if index is None:
+                    every, owner = np.concatenate([h[:0], *sets]), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+                    order = np.argsort(every, kind="stable")
+                    index, sizes, where = (every[order], owner[order]), np.array([len(v) for v in sets]), np.array(parts)
+                both = _common(sets, h, index)
+                near = np.flatnonzero((both > 0) & (100 * both >= percent * (sizes + len(h) - both)) & (where != part))
+                for y in near[np.unique(where[near], return_index=True)[1]]:
+                    found.append((id_, ids[y]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    near = rows.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "x")
+    return materialize(near.mapInArrow(run, "a long, b long"), "minhash-links")
+
+
 def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -217,15 +272,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     star = star.join(sizes, F.col("a") == F.col("c")).filter(fits("n", "c_n")).select("a", "b")
     links = verify(_likely(star, reps, percent), texts, percent, size)
     part = materialize(components(_edges(links)), "minhash-parts")
-    # Whoever is not in the centre's component by now is compared with the others of its key that are in other components.
+    # Whoever is not in the centre's component by now is compared with all that share the centre and are in other parts.
     of = lambda x, y: part.select(F.col("node").alias(x), F.col("component").alias(y))
-    placed = found.join(of("i", "i_part"), F.col("id") == F.col("i"), "left").join(of("c", "c_part"), F.col("centre") == F.col("c"), "left")
-    placed = placed.select("key", "id", "n", "centre", F.coalesce("i_part", "id").alias("part"), F.coalesce("c_part", "centre").alias("centre_part"))
-    outside = materialize(placed.filter("part <> centre_part"), "minhash-outside")
-    others = placed.join(outside.select("key").distinct(), "key", "left_semi").filter("id <> centre")
-    x, y = outside.select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp")), others.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"))
-    more = x.join(y, "key").filter("xp <> yp").filter(fits("xn", "yn")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(verify(_likely(more, reps, percent), texts, percent, size))
+    members = found.select("centre", "id").distinct().join(of("i", "i_part"), F.col("id") == F.col("i"), "left").join(of("c", "c_part"), F.col("centre") == F.col("c"), "left")
+    members = members.select("centre", "id", F.coalesce("i_part", "id").alias("part"), F.coalesce("c_part", "centre").alias("centre_part"))
+    members = materialize(members, "minhash-members")
+    outside = materialize(members.filter("part <> centre_part").drop("centre_part"), "minhash-outside")
+    others = members.join(outside.select("centre").distinct(), "centre", "left_semi").drop("centre_part")
+    links = links.unionByName(verify_blocks(outside, others, texts, percent, size))
     part = components(_edges(links))
     out = nodes.select("id", "n", "rep").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
