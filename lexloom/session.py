@@ -29,8 +29,15 @@ def local_session(cpus: int = 8, **conf) -> SparkSession:
     return prepare(spark)
 
 
+ARROW_ROWS = 2000
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where it is not installed (a shared or single machine)."""
+    """Let Python workers find this package where it is not installed (a shared or single machine), and send them texts in
+    batches of ARROW_ROWS at most: several copies of a batch live in a worker, and Spark's default is 10,000 rows."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > ARROW_ROWS:
+        spark.conf.set(rows, ARROW_ROWS)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
