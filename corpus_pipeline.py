@@ -16,7 +16,7 @@ from lexloom.session import materialize, prepare, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more by a model of all labels."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).filter("score >= 0.5").select(*docs.columns)
+    return quality.classify(docs, table(prepare(spark), sf_dir, "labels")).filter("score >= 0.5").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group linked at a similarity of 0.8 or more."""
+    prepare(spark)
     gone = materialize(minhash.near_duplicates(docs).filter("NOT kept").select("doc_id"), "pipeline-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -40,6 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the whole texts, and whether they decode to the text."""
+    prepare(spark)
     out = bpe.decode(bpe.encode(docs))
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))

@@ -29,10 +29,10 @@ _CASE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 class _Hashes(dict):
-    """Word to hash; forgets all beyond a million words."""
+    """Word to hash; forgets all beyond 250,000 words, since workers live on and each keeps one."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
