@@ -1,10 +1,11 @@
 """Embedding near-dedup by spherical-cap filters of a structured random code.
 
 A vector is rotated and cut into four blocks, each with its own random codebook. A filter direction is one code word per
-block, so words**4 directions need 4 * words inner products. List decoding finds the directions whose caps a vector lies
-in deepest: the best LIST sums of four scores, from the best LIST of each half. CODES independent codes make it unlikely
-that two near vectors share none. Vectors of one best direction form a cell; cells that share a listed direction are
-candidates. Cells go into blocks of about BLOCK vectors and pairs of blocks
+block, so words**4 directions need 4 * words inner products. List decoding finds all directions whose caps a vector lies
+in: those that score at least a fixed share of the vector's best, LIST on average and without a limit. (One cap for all
+scores would leave vectors of unequal blocks without any.) Codes are independent, and as many as it takes for at most
+MISS of the pairs at the threshold to share no direction; finer codes miss more, so their number grows with that of the
+vectors. Vectors of one best direction form a cell; cells that share a listed direction are candidates. Cells go into blocks of about BLOCK vectors and pairs of blocks
 are verified as matrix products, so each pair of vectors is compared once, and what leaves a task is a count per vector
 and a spanning forest, never the pairs.
 """
@@ -12,6 +13,7 @@ and a spanning forest, never the pairs.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.components import components
 from lexloom.session import materialize
 
-LIST, CODES, BLOCK, PARTS = 32, 3, 256, 4
+LIST, CODES, BLOCK, PARTS, MISS = 32, 3, 256, 4, 1e-5
 
 
 @functools.lru_cache(maxsize=8)
@@ -32,6 +34,8 @@ def _code(dim: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     padded = -(-dim // PARTS) * PARTS
     turn = np.linalg.qr(r.standard_normal((padded, padded)))[0][:dim]
     books = r.standard_normal((PARTS, words, padded // PARTS))
+    if padded == PARTS:  # one dimension each has two directions
+        books = np.broadcast_to(np.array([[1.0], [-1.0]]), (PARTS, 2, 1))
     return turn, books / np.linalg.norm(books, axis=2, keepdims=True)
 
 
@@ -46,24 +50,69 @@ def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x / np.where(n > 0, n, 1)[:, None], ok
 
 
-def list_decode(unit: np.ndarray, words: int, seed: int = 0, size: int = LIST) -> np.ndarray:
-    """The numbers of each row's best directions in one code, the best first."""
+def _decoded(unit: np.ndarray, words: int, seed: int, cap: float) -> Iterator[np.ndarray]:
+    """Of each row, the numbers of all directions of one code that score at least `cap` times the best, the best first."""
     turn, books = _code(unit.shape[1], words, seed)
-    x = (unit @ turn).reshape(len(unit), PARTS, -1)
-    scores = np.einsum("npk,pwk->npw", x, books)
-    n, rows = len(unit), np.arange(len(unit))[:, None]
+    words = books.shape[1]
+    few = max(1, (1 << 20) // words**2)
+    for at in range(0, len(unit), few):
+        x = (unit[at : at + few] @ turn).reshape(-1, PARTS, turn.shape[1] // PARTS)
+        scores = np.einsum("npk,pwk->npw", x, books)
+        left = (scores[:, 0, :, None] + scores[:, 1, None, :]).reshape(len(x), -1)
+        right = (scores[:, 2, :, None] + scores[:, 3, None, :]).reshape(len(x), -1)
+        for a, b, i, j in zip(left, right, left.argmax(1), right.argmax(1), strict=True):
+            least = cap * (a[i] + b[j])
+            p, q = np.flatnonzero(a + b[j] >= least), np.flatnonzero(b + a[i] >= least)
+            u, v = np.nonzero(a[p][:, None] + b[q] >= least)
+            found = p[u].astype(np.int64) * words**2 + q[v]
+            best = int(i) * words**2 + int(j)
+            yield np.r_[best, found[found != best]]
+
+
+@functools.lru_cache(maxsize=64)
+def cap_of(dim: int, words: int) -> float:
+    """The cap, as a share of a vector's best score, that LIST directions of a random vector exceed on average."""
+    unit, _ = unit_rows(np.random.default_rng([11, dim]).standard_normal((128, dim)))
+    low, high = -1.0, 1.0
+    if _code(dim, words, 0)[1].shape[1] ** PARTS <= LIST:
+        return low
+    low = 0.99
+    while low > 0 and sum(map(len, _decoded(unit, words, 0, low))) < LIST * len(unit):
+        low, high = low - 0.05, low
+    for _ in range(10):
+        cap = (low + high) / 2
+        low, high = (cap, high) if sum(map(len, _decoded(unit, words, 0, cap))) > LIST * len(unit) else (low, cap)
+    return low
+
+
+@functools.lru_cache(maxsize=64)
+def code_misses(dim: int, words: int, cosine: float, n: int = 1000) -> float:
+    """The share of pairs at this cosine whose lists in one code are disjoint, on n random pairs with three misses added.
+
+    Codes are turned at random, so the share holds for any pair, and codes miss a pair independently of each other.
+    """
+    r = np.random.default_rng([13, dim])
+    x, _ = unit_rows(r.standard_normal((n, dim)))
+    g = r.standard_normal(x.shape)
+    g, _ = unit_rows(g - (g * x).sum(1, keepdims=True) * x)
+    y = cosine * x + (1 - cosine**2) ** 0.5 * g
+    cap = cap_of(dim, words)
+    missed = sum(not np.intersect1d(a, b).size for a, b in zip(_decoded(x, words, 0, cap), _decoded(y, words, 0, cap), strict=True))
+    return min((missed + 3) / n, 0.999)
+
+
+def n_codes(dim: int, words: int, cosine: float) -> int:
+    """So many codes that at most MISS of the pairs at this cosine share no listed direction; CODES at least."""
+    return max(CODES, math.ceil(math.log(MISS) / math.log(code_misses(dim, words, cosine))))
 
-    def best(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = min(size, sums.shape[1])
-        at = np.argpartition(-sums, k - 1, axis=1)[:, :k]
-        return at, sums[rows, at]
 
-    left, left_sum = best((scores[:, 0, :, None] + scores[:, 1, None, :]).reshape(n, -1))
-    right, right_sum = best((scores[:, 2, :, None] + scores[:, 3, None, :]).reshape(n, -1))
-    at, total = best((left_sum[:, :, None] + right_sum[:, None, :]).reshape(n, -1))
-    at = at[rows, np.argsort(-total, axis=1, kind="stable")]
-    k = right.shape[1]
-    return left[rows, at // k].astype(np.int64) * words**2 + right[rows, at % k]
+def list_decode(unit: np.ndarray, words: int, seed: int = 0) -> np.ndarray:
+    """The numbers of each row's listed directions in one code, the best first; short rows repeat the best."""
+    lists = list(_decoded(unit, words, seed, cap_of(unit.shape[1], words)))
+    out = np.repeat(np.array([[x[0]] for x in lists], np.int64).reshape(-1, 1), max(map(len, lists), default=1), axis=1)
+    for row, x in zip(out, lists, strict=True):
+        row[: len(x)] = x
+    return out
 
 
 def code_words(vectors: int) -> int:
@@ -71,7 +120,7 @@ def code_words(vectors: int) -> int:
     return max(4, round((CODES * LIST * LIST * max(vectors, 1) / 4) ** (1 / PARTS)))
 
 
-def _decode(df: DataFrame, words: int) -> DataFrame:
+def _decode(df: DataFrame, words: int, least: float) -> DataFrame:
     """id, m, v with cell and filters. Vectors of different lengths have different filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +132,10 @@ def _decode(df: DataFrame, words: int) -> DataFrame:
                 for size in {len(x) for x in v}:
                     rows = [k for k, x in enumerate(v) if len(x) == size]
                     unit, _ = unit_rows(np.frombuffer(b"".join(v[k] for k in rows), np.float64).reshape(len(rows), -1))
-                    lists = [(list_decode(unit, words, c) * CODES + c) * 65536 + size // 8 % 65536 for c in range(CODES)]
-                    for k, f in zip(rows, np.concatenate(lists, axis=1), strict=True):
-                        out[k] = f
+                    dim, cap = unit.shape[1], cap_of(unit.shape[1], words)
+                    codes = n_codes(dim, words, least)
+                    for k, *lists in zip(rows, *(_decoded(unit, words, c, cap) for c in range(codes)), strict=True):
+                        out[k] = np.concatenate([(x * codes + c) * 65536 + dim % 65536 for c, x in enumerate(lists)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([f[0] for f in out], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "m", "v", "cell", "filters"])
 
     return df.select("id", "m", "v").mapInArrow(run, "id long, m long, v binary, cell long, filters array<long>")
@@ -134,7 +184,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a null id
     (component_id null, kept) or vectors of different lengths. Equal vectors are one node with a weight. Rows that repeat an
     id and a vector count as other vectors; rows that repeat an id with another vector share its component. Candidates come
-    from shared filters, so a link is found unless the lists of LIST directions are disjoint in all CODES codes.
+    from shared filters, so a link is found unless the lists are disjoint in all codes (at most MISS of the pairs at `least`).
     """
     x = F.col(vector_col).cast("array<double>")
     bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
@@ -148,7 +198,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
 
     all_ = materialize(rows.mapInArrow(pack, "id long, v binary"), "vectors")
     nodes = materialize(all_.filter("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")), "vector-nodes")
-    decoded = _decode(nodes, code_words(nodes.count()))
+    decoded = _decode(nodes, code_words(nodes.count()), least)
     decoded = materialize(decoded, "vector-filters")
     cells = materialize(decoded.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "vector-cells")
     block = F.pmod(F.xxhash64("id"), "blocks")

@@ -116,6 +116,22 @@ def test_filters_recall():
     assert found.mean() > 0.999
 
 
+@pytest.mark.parametrize("vectors", [10**4, 10**6, 10**8])
+def test_filters_recall_is_alike_at_every_size(vectors):
+    r, words = np.random.default_rng(6), embeddings.code_words(vectors)
+    n, codes = 150 if vectors > 10**6 else 1000, embeddings.n_codes(64, words, 0.95)
+    x, _ = embeddings.unit_rows(r.standard_normal((n, 64)))
+    g = r.standard_normal(x.shape)
+    g, _ = embeddings.unit_rows(g - (g * x).sum(1, keepdims=True) * x)
+    y, missed = 0.95 * x + (1 - 0.95**2) ** 0.5 * g, []
+    for c in range(codes):
+        a, b = (embeddings.list_decode(v, words, c) for v in (x, y))
+        missed.append([not set(p) & set(q) for p, q in zip(a.tolist(), b.tolist())])
+    assert np.mean(missed) ** codes < 3e-5 and not np.all(missed, axis=0).any()
+    lists = [len(set(p)) for p in a.tolist()]  # the cap decides, no count
+    assert min(lists) < embeddings.LIST < max(lists)
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 200), (200, 300), (7, 7), (400, 300), (100, 200)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
