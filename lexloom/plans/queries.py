@@ -168,6 +168,13 @@ def position_documents(spark, sf_dir):
     return index.document_of(occ, occ.filter("type <> 'b'"))
 
 
+@query()
+def all_position_documents(spark, sf_dir):
+    """The document of every position; position_documents asks for those of end and own-url tokens alone, as its SQL does."""
+    occ = index.occurrences(_docs(spark, sf_dir))
+    return index.document_of(occ, occ)
+
+
 @query(f"""WITH RECURSIVE w AS (SELECT doc_id, (len(regexp_extract_all(coalesce(text, ''), {WORD})) + 2)::BIGINT AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
 r AS (SELECT doc_id, n AS n_tokens, i, 0::BIGINT AS chunk_id, 0::BIGINT AS doc_seq, 0::BIGINT AS start FROM w WHERE i = 1
   UNION ALL SELECT w.doc_id, w.n, w.i, CASE WHEN doc_seq + 1 > 20 AND start + n_tokens > 8000 THEN chunk_id + 1 ELSE chunk_id END,

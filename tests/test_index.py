@@ -92,6 +92,30 @@ def test_document_of_position(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: 1, 8: None}
 
 
+def test_every_position_of_the_table_has_its_document(spark, sf):
+    import __spark_entry__ as entry
+
+    got = {(r["chunk_id"], r["pos"]): r["doc_seq"] for r in entry.queries()["all_position_documents"](spark, sf).collect()}
+    ends = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
+        ends.append((ends[-1] + 2 if ends else 0) + len((r["text"] or "").encode().split()))
+    want, k = {}, 0
+    for pos in range(ends[-1] + 2):
+        k += k < len(ends) and pos > ends[k]
+        want[0, pos] = k if k < len(ends) else None
+    assert got == want and len(want) > 10 * len(ends)
+
+
+def test_every_position_has_its_document_in_many_chunks(spark):
+    rows = [(f"u{k}", ["a"] * (k * 7 % 5), [], [], []) for k in range(23)]
+    occ = index.occurrences(parsed(spark, *rows), max_docs=3, max_words=10)
+    got = {(r["chunk_id"], r["pos"]): r["doc_seq"] for r in index.document_of(occ, occ).collect()}
+    own = {(r["chunk_id"], r["pos"]): (r["type"], r["doc_seq"]) for r in occ.collect()}
+    last = {c: max(p for x, p in own if x == c) for c, _ in own}
+    want = {(c, p): (None if p == last[c] else seq + 1) if kind == "u" else seq for (c, p), (kind, seq) in own.items()}
+    assert got == want and len(last) > 3
+
+
 def test_html(spark):
     html = '<html><head><title>A &amp; B</title><script>x<y</script></head><body><!-- no --><h1>Big Word</h1><p>t&lt;x</p><a class="k" href="/q">go <b>now</b></a></body></html>'
     df = spark.createDataFrame([(1, "https://h.org/p?x", html), (2, None, None)], "page_id long, url string, html string")
