@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +30,24 @@ def local_session(cpus: int = 8, **conf) -> SparkSession:
     return prepare(spark)
 
 
-ARROW_ROWS = 2000
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
+WORKER_MEMORY = {  # large arrays go back to the system when they are freed; workers live on between stages
+    "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where it is not installed (a shared or single machine), and send them texts in
-    batches of ARROW_ROWS at most: several copies of a batch live in a worker, and Spark's default is 10,000 rows."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(rows)) > ARROW_ROWS:
-        spark.conf.set(rows, ARROW_ROWS)
+    """Let Python workers find this package where it is not installed (a shared or single machine), give freed memory back,
+    and send them batches of ARROW_ROWS rows and about ARROW_BYTES bytes at most: several copies of a batch live in a
+    worker, and Spark's defaults are 10,000 rows and no bound on bytes. Lower settings of the session stay as they are; the
+    batch settings hold for the session from then on."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, most)
     env = spark.sparkContext.environment
+    for key, value in WORKER_MEMORY.items():
+        env.setdefault(key, value)
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     return spark
@@ -68,12 +77,41 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, sift: int = 0) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage, outlives lost executors, and gives the optimizer the table's true size, by which
-    Spark broadcasts it below spark.sql.autoBroadcastJoinThreshold and shuffles it above.
+    Spark broadcasts it below spark.sql.autoBroadcastJoinThreshold and shuffles it above. With sift, see sifted().
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    with sifted(spark, sift) if sift else nullcontext():
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+@contextmanager
+def sifted(spark: SparkSession, keys: int):
+    """Inside, Spark sends a Bloom filter of one side's keys (filtered by a comparison) to the scan of the other side of a
+    shuffle join, whatever the sizes, so rows without a partner stay out of the shuffle. keys: about how many there are. The
+    filter has 64 million bits at most; beyond some ten million keys it lets more rows pass, never fewer."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    bits = max(1 << 20, min(10 * keys, 1 << 26))
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": str(1 << 50), "numBits": str(bits), "expectedNumItems": str(max(1, min(keys, 4_000_000)))}
+    before = {k: spark.conf.get(prefix + k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(prefix + k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(prefix + k, v)
