@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import materialize
+from lexloom.session import discard, materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last or not now[0]:
             break
-        last = now
+        last, old = now, edges
         edges = materialize(_star(_star(edges, small=False), small=True), "edges")
+        discard(old)
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
