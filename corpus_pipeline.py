@@ -15,12 +15,18 @@ from lexloom.session import materialize, prepare, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 or more by a model of all labels."""
+    """Documents with a score of 0.5 or more by a model of all labels.
+
+    Null and empty texts have a score like any other. Rows that repeat an id are scored one by one. An empty table stays empty.
+    """
     return quality.classify(docs, table(prepare(spark), sf_dir, "labels")).filter("score >= 0.5").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without boilerplate lines, n_chars following; a document of which only white space is left goes."""
+    """Texts without boilerplate lines, n_chars following; a document of which only white space is left goes.
+
+    Null and blank texts that had no such line stay as they are. Rows that repeat an id and a text share their fate.
+    """
     out = lines.dedup_lines(docs)
     gone = (F.col("n_removed") > 0) & (F.trim("text", F.lit(SPACES)) == "")
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -28,19 +34,31 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group linked at a similarity of 0.8 or more."""
+    """The document of the smallest id of each group linked at a similarity of 0.8 or more.
+
+    Rows that repeat an id are one document: of those that stay, the row of the smallest text (null first) does. Rows with a
+    null id all stay, as do those without words.
+    """
     prepare(spark)
     gone = materialize(minhash.near_duplicates(docs).filter("NOT kept").select("doc_id"), "pipeline-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    many = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    many = materialize(many.join(gone, "doc_id", "left_anti"), "pipeline-repeated-ids")
+    rest = docs.join(gone.unionByName(many), "doc_id", "left_anti").select(*docs.columns)
+    if many.isEmpty():
+        return rest
+    row = F.struct("text", *[c for c in docs.columns if c != "text"])
+    one = docs.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
+    return rest.unionByName(one.select("row.*").select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. Documents without words take no part in the mix; sources, null among
+    them, are those of the documents that came this far."""
     return mixing.mix(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the whole texts, and whether they decode to the text."""
+    """Token ids of the whole texts, and whether they decode to the text. Null and empty texts have no ids."""
     prepare(spark)
     out = bpe.decode(bpe.encode(docs))
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
