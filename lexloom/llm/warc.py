@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lexloom.session import materialize, new_folder
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 16 << 20
+FRAME_BYTES, BUNDLE_BYTES, READERS = 256 << 10, 16 << 20, 20_000
 RECORD_URN = "<urn:lexloom:page:%s>"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, file string, frame int, frame_offset long, frame_bytes long, offset long, length long"
@@ -188,7 +188,11 @@ def write_archives(df: DataFrame, folder: str, *, id_col: str = "page_id", url_c
 
 def read_archives(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """Every record of the files that the index lists, frame by frame: page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to and with payloads also payload (null for revisits)."""
+    record_type, refers_to and with payloads also payload (null for revisits).
+
+    A task for each file, up to READERS tasks. A file that is missing, cut or damaged fails the job: nothing is skipped. An
+    empty index gives no rows; files and records that it doesn't list are not read, rows that it repeats are read once.
+    """
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     kinds = pa.schema(kinds + [("payload", pa.binary())] * payloads)
 
@@ -208,7 +212,8 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = False) -> Data
                         yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return index.groupBy("file").agg(F.count(F.lit(1)).alias("n")).mapInArrow(read, schema)
+    files = index.select("file").distinct()
+    return files.repartition(max(1, min(files.count(), READERS)), "file").mapInArrow(read, schema)  # a number of its own keeps small partitions apart
 
 
 def fetch(index: DataFrame, folder: str, page_id: int) -> list[dict]:
