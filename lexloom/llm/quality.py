@@ -144,17 +144,17 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 60,
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most `rows` labelled documents.
+    """Features and labels of at most `rows` labelled documents; no more reach the driver, however often an id is repeated.
 
     A label is 1 if the mean of the id's labels is at least one half; null ids and labels are left out. The sample takes the
-    smallest hashes of the ids, so the table broadcast has `rows` short rows at most; a document's features then count once
-    per row of its id.
+    smallest hashes of the ids that docs has, so the table broadcast has `rows` short rows at most. Of an id's rows the one of
+    the smallest text hash counts, once.
     """
     one = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    some = one.orderBy(F.xxhash64("lid"), "lid").limit(rows)
+    some = one.join(docs.select(F.col(id_col).alias("lid")), "lid", "left_semi").orderBy(F.xxhash64("lid"), "lid").limit(rows)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("id") == F.col("lid"))
-    got = found.select("id", feature_column(F.col("text")).alias("x"), "y").toArrow()
-    got = got.sort_by("id")
+    found = found.select("id", F.xxhash64("text").alias("h"), feature_column(F.col("text")).alias("x"), "y")
+    got = found.groupBy("id").agg(F.min_by("x", "h").alias("x"), F.min("y").alias("y")).toArrow().sort_by("id")
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return x, got["y"].to_numpy().astype(np.float64)
 
