@@ -2,8 +2,9 @@
 
 Every line hash gets a HyperLogLog sketch of its sites; sketches merge in partial aggregation before the shuffle, so a
 line that stands everywhere sends one small row per task. Estimates far from the threshold decide; lines near it get
-exact distinct counts. A line found on min_sites sites or more is boilerplate: its first occurrence stays, so that no
-content leaves the corpus, and all others go.
+exact distinct counts. A line of MIN_WORDS words or more on min_sites sites or more is boilerplate: its first occurrence
+stays, so that no content leaves the corpus, and all others go. Shorter lines are prose, or whole short texts, that meet by
+chance.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import SPACES
 from lexloom.session import materialize
 
-MIN_SITES, LG_REGISTERS = 10, 10
+MIN_SITES, MIN_WORDS, LG_REGISTERS, MARKS = 5, 3, 10, 1 << 20
+_LONG_ENOUGH = r"^[ \t-\r]*" + r"[^ \t-\r]+[ \t-\r]+" * (MIN_WORDS - 1) + r"[^ \t-\r]"
 NEAR = 5 * 1.04 / (1 << LG_REGISTERS) ** 0.5  # five standard errors of the estimate
 
 
@@ -24,10 +26,9 @@ def _key(line: Column) -> Column:
 
 
 def line_rows(df: DataFrame, *, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """id, th (the text's hash, which tells rows with one id apart), site, pos, key of every line with more than white space."""
+    """id, th (the text's hash, which tells rows with one id apart), site, pos, key of every line of MIN_WORDS words or more."""
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    line = F.trim("line", F.lit(SPACES))
-    return rows.filter(line != "").select("id", "th", "site", "pos", _key(line).alias("key"))
+    return rows.filter(F.col("line").rlike(_LONG_ENOUGH)).select("id", "th", "site", "pos", _key(F.trim("line", F.lit(SPACES))).alias("key"))
 
 
 def boilerplate_hits(rows: DataFrame, min_sites: int) -> DataFrame:
@@ -44,11 +45,11 @@ def boilerplate_hits(rows: DataFrame, min_sites: int) -> DataFrame:
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """df with boilerplate lines removed from text_col, and n_lines and n_removed (long; such columns are replaced).
 
-    Lines end at newlines and compare without surrounding ASCII white space; blank lines never count. The first occurrence
+    Lines end at newlines and compare without surrounding ASCII white space; blank and short lines stay. The first occurrence
     is that of the smallest id, null before all, then by text hash and position; rows that repeat an id and a text share
     its fate. A null text stays null and has 0 lines, an empty one has 1. Rows never go, texts may become empty. Other
-    columns stay as they are. The table of positions is broadcast if it is below Spark's threshold, else it is joined by a
-    shuffle on the id.
+    columns stay as they are. Only rows that may have such a line are moved to their list of positions: a set of MARKS hash
+    values at most, which is broadcast, tells the others apart.
     """
     hits = materialize(boilerplate_hits(line_rows(df, id_col=id_col, text_col=text_col, site_col=site_col), min_sites), "line-boilerplate")
     first = hits.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("id", "th", "pos")).alias("first"))
@@ -57,7 +58,13 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     gone = gone.groupBy(F.col("id").alias("gone id"), F.col("th").alias("gone th")).agg(F.collect_set("pos").alias("gone pos"))
     gone = materialize(gone, "line-removals")
     text = F.col(text_col)
-    rows = df.join(gone, F.col(id_col).eqNullSafe(F.col("gone id")) & (F.xxhash64(text_col) == F.col("gone th")), "left")
+    marks = gone.select(F.pmod(F.xxhash64("gone id", "gone th"), F.lit(MARKS)).alias("gone mark")).distinct()
+    marks = F.broadcast(materialize(marks, "line-marks"))
+    mine = F.pmod(F.xxhash64(F.col(id_col), F.xxhash64(text_col)), F.lit(MARKS)) == F.col("gone mark")
+    same = F.col(id_col).eqNullSafe(F.col("gone id")) & (F.xxhash64(text_col) == F.col("gone th"))
+    rows = df.join(marks, mine, "left_semi").join(gone, same, "left")
+    rest = df.join(marks, mine, "left_anti").withColumns({f.name: F.lit(None).cast(f.dataType) for f in gone.schema})
+    rows = rows.unionByName(rest)
     lines = F.split(text, "\n")
     kept = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone pos"))), lambda i: F.get(lines, i))
     n = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")

@@ -135,11 +135,12 @@ def _least_estimate(percent: int) -> float:
 
 
 def _texts_of(wanted: DataFrame, texts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The table wanted, stored, and its rows with their texts. The texts of other ids are sifted out in their scan."""
+    """The table wanted, stored, and its rows with their texts. The texts of other ids are sifted out in their scan, the rest is
+    shuffled at every size."""
     wanted = materialize(wanted, name)
     asked = wanted.filter(F.col("id") > F.lit(-(1 << 63)))  # a comparison lets Spark make the Bloom filter; see sifted()
     low = asked if wanted.filter(F.col("id") == F.lit(-(1 << 63))).isEmpty() else wanted
-    return wanted, texts.join(low, "id")
+    return wanted, texts.join(low.hint("merge"), "id")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -294,7 +295,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     banded = reps.select(F.explode("keys").alias("key"), "id")
     keys = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last"))
     keys = materialize(keys.filter("a < last").select(F.col("key").alias("k"), "a"), "minhash-keys")
-    found = materialize(banded.join(keys, F.col("key") == F.col("k")).select("a", F.col("id").alias("b")).filter("a < b").distinct(), "minhash-stars")
+    found = materialize(banded.join(keys.hint("merge"), F.col("key") == F.col("k")).select("a", F.col("id").alias("b")).filter("a < b").distinct(), "minhash-stars")
     discard(reps, keys)
     links = verify(found, texts, percent, size)
     part = first = materialize(components(_edges(links)), "minhash-parts")

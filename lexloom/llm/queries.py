@@ -131,7 +131,7 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
 t AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM l),
-b AS (SELECT k, min((doc_id, pos)) AS first FROM t WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
+b AS (SELECT k, min((doc_id, pos)) AS first FROM t WHERE len(regexp_extract_all(k, '[^\x20\x09-\x0D]+')) >= 3 GROUP BY k HAVING count(DISTINCT source) >= 5),
 f AS (SELECT t.doc_id, t.pos, t.line, b.k IS NOT NULL AND (t.doc_id, t.pos) <> b.first AS gone FROM t LEFT JOIN b ON t.k = b.k),
 g AS (SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM f GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, g.text FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
