@@ -1,68 +1,103 @@
 """Language-model scoring: a log-bilinear model trained by noise-contrastive estimation.
 
-Classes are the SHORTLIST most frequent words, the end token and one class for all other words. The model predicts the
-next class from the two before: context vectors, scaled elementwise per position, are summed and multiplied with target
-vectors. Tasks train replicas on all training documents and the replicas are averaged by their tokens. Words of the last
-class get absolutely discounted unigram probabilities inside it, with one slot for unseen words, so the probabilities of
-all known words, the end and the slot add up to one after any context.
-
-Counts cover all training documents. The FREQUENT commonest words go to the tasks as an array of that bound; the others'
+The 2 * sqrt(N) most frequent of N training tokens' words have vectors of their own; all other words share the vectors of
+buckets, a quarter as many, which go by a hash of a word's last three bytes. Words, buckets and the end token are the leaves of a tree of three levels, ordered by
+frequency; two words before a token give its context vector, and the token's probability is that of its path: at each
+level a softmax over the children, exactly normalised by matrix products. So vocabulary and classes grow with the corpus,
+and a token costs three times the cube root of their number. Targets start at zero, which makes the untrained model the
+unigram model. Inside a bucket words have absolutely discounted unigram probabilities; what the discount frees is shared
+by as many unseen words as the counts of rare words suggest. Over all these the probabilities add up to one after any context.
+
+Replicas train on documents dealt by a hash of their ids and texts, in an order fixed by that hash, and are averaged by
+their tokens. Their number depends on the corpus alone, so scores do not depend on partitions, files or the cluster.
+
+Counts cover all training documents. The FREQUENT commonest words go to the tasks as arrays of that bound; the others'
 counts reach the documents by a join on word hashes.
 """
 
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import ascii_lower, words
 from lexloom.session import materialize
 
-SHORTLIST, FREQUENT, DIM, NOISE, BATCH, REPLICAS = 1000, 100_000, 16, 16, 2048, 1024
+FREQUENT, DIM, NOISE, ROUNDS, RATE = 1 << 17, 16, 1, 2, 0.15
 _CASE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def word_key(word: Column) -> Column:
-    """63 bits of a hash, as a negative number."""
-    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
+def word_key(word: bytes) -> int:
+    """47 bits of a hash of the word and 16 of one of its last three bytes, as a negative number."""
+    return (xxhash.xxh64_intdigest(word, 42) & ((1 << 63) - (1 << 16)) | xxhash.xxh32_intdigest(word[-3:]) & 0xFFFF) - (1 << 63)
+
+
+def tokens(text: str | None) -> list[bytes]:
+    """A-Z in lower case; words between ASCII white space."""
+    return (text or "").encode().translate(_CASE).split()
 
 
 class _Codes(dict):
-    """Word to its rank among the frequent words, or else to its negative key; forgets all beyond a million words."""
+    """Word to its rank among the frequent words, or else to its negative key; forgets all beyond 250,000 words."""
 
     def __init__(self, ranks: dict[int, int]):
         self.ranks = ranks
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
-        h = (xxhash.xxh64_intdigest(word, 42) & ((1 << 63) - 1)) - (1 << 63)
+        h = word_key(word)
         self[word] = h = self.ranks.get(h, h)
         return h
 
 
+class Tree:
+    """Leaves in the order given, width to a parent; two levels of parents. shares: of the leaves."""
+
+    def __init__(self, shares: np.ndarray):
+        self.n = len(shares)
+        self.width = max(2, int(np.ceil(self.n ** (1 / 3))))
+        while self.width**3 < self.n:
+            self.width += 1
+        w = self.width
+        self.shares = [np.add.reduceat(shares, np.arange(0, self.n, step)) for step in (w * w, w, 1)]
+        self.counts = [len(x) for x in self.shares]
+        self.offsets = [0, self.counts[0], self.counts[0] + self.counts[1]]
+        log = [np.log(x) for x in self.shares]
+        whole = np.log(shares.sum())
+        self.bias = np.concatenate([log[0] - whole, log[1] - log[0][np.arange(self.counts[1]) // w], log[2] - log[1][np.arange(self.n) // w]]).astype(np.float32)
+
+    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each leaf and level: the node, and the first and the number of the nodes it competes with."""
+        w = self.width
+        at = np.stack([leaves // (w * w), leaves // w, leaves], 1)
+        first = at // w * w
+        first[:, 0] = 0
+        most = np.minimum(np.array([self.counts[0], w, w]), np.array(self.counts) - first)
+        return at + self.offsets, first + self.offsets, most
+
+
 class LogBilinear:
-    """vectors: contexts (classes x dim), targets (classes x dim), scales (2 x dim), bias (classes)."""
+    """contexts (leaves x dim), nodes (nodes of all levels x dim), scales (2 x dim). The last number of a context is always
+    one, so that of a node is its bias."""
 
     def __init__(self, shares: np.ndarray, dim: int = DIM, seed: int = 1):
-        r, n = np.random.default_rng(seed), len(shares)
-        self.shares = shares
-        self.contexts = r.normal(0, 0.1, (n, dim)).astype(np.float32)
-        self.targets = r.normal(0, 0.1, (n, dim)).astype(np.float32)
+        self.tree = Tree(shares)
+        r = np.random.default_rng(seed)
+        self.contexts = r.normal(0, 0.3, (self.tree.n, dim)).astype(np.float32)
+        self.nodes = np.zeros((len(self.tree.bias), dim), np.float32)
+        self.nodes[:, -1] = self.tree.bias
         self.scales = np.ones((2, dim), np.float32)
-        self.bias = np.log(shares).astype(np.float32)
         self.squares = [np.full_like(x, 1e-2) for x in self.weights()]
-        self.normalisers = None
 
     def weights(self) -> list[np.ndarray]:
-        return [self.contexts, self.targets, self.scales, self.bias]
+        return [self.contexts, self.nodes, self.scales]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.weights()])
@@ -72,85 +107,128 @@ class LogBilinear:
         for x in self.weights():
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
-        self.normalisers = None
-
-    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray, rate: float = 0.1) -> None:
-        """One NCE step: each target against the noise classes, drawn by their shares, all under the normaliser 1."""
-        a, b = self.contexts[one], self.contexts[two]
-        mixed = a * self.scales[0] + b * self.scales[1]
-        t, z = self.targets[target], self.targets[noise]
-        offset = np.log(len(noise) * self.shares).astype(np.float32)
-        real = np.einsum("ij,ij->i", mixed, t) + self.bias[target] - offset[target]
-        fake = mixed @ z.T + (self.bias[noise] - offset[noise])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # 1 - sigmoid
-        down = 1 / (1 + np.exp(np.clip(-fake, -30, 30)))  # sigmoid
-        back = up[:, None] * t - down @ z
-        g_targets = _rows_sum(target, up[:, None] * mixed, len(self.targets))
-        np.add.at(g_targets, noise, -(down.T @ mixed))
-        g_contexts = _rows_sum(one, back * self.scales[0], len(self.contexts)) + _rows_sum(two, back * self.scales[1], len(self.contexts))
-        g_bias = np.bincount(target, up, len(self.bias)) - np.bincount(noise, down.sum(0), len(self.bias))
-        for x, s, g in zip(self.weights(), self.squares, (g_contexts, g_targets, np.stack([(back * a).sum(0), (back * b).sum(0)]), g_bias), strict=True):
-            g = g.astype(np.float32) / len(target)
-            s += g * g
-            x += rate * g / np.sqrt(s)
-
-    def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, r: np.random.Generator) -> None:
-        order, shares = r.permutation(len(target)), np.cumsum(self.shares)
-        for at in range(0, len(order), BATCH):
-            k = order[at : at + BATCH]
-            noise = np.minimum(np.searchsorted(shares, r.random(NOISE)), len(shares) - 1)
-            self.step(one[k], two[k], target[k], noise)
+
+    def mixed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * self.scales[0]
+        x += b * self.scales[1]
+        x[:, -1] = 1
+        return x
+
+    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, r: np.random.Generator) -> None:
+        """One NCE step: at each level the node of the path against NOISE others of its parent, drawn evenly, all under the
+        normaliser 1."""
+        a, b, size = self.contexts[one], self.contexts[two], len(target)
+        x = self.mixed(a, b)
+        path, first, most = self.tree.paths(target)
+        at = np.empty((size, 3, 1 + NOISE), np.int64)
+        at[:, :, 0] = path
+        at[:, :, 1:] = first[:, :, None] + (r.random((size, 3, NOISE), np.float32) * most[:, :, None]).astype(np.int64)
+        rows = at.reshape(size, -1)
+        nodes = self.nodes[rows]
+        logit = np.matmul(nodes, x[:, :, None])[:, :, 0]
+        logit -= np.repeat(np.log(NOISE / most).astype(np.float32), 1 + NOISE, axis=1)
+        error = -1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        error.reshape(at.shape)[:, :, 0] += 1
+        back = np.matmul(error[:, None, :], nodes)[:, 0, :]
+        back[:, -1] = 0
+        self._update(1, *_rows_sum(rows.ravel(), (error[:, :, None] * x[:, None, :]).reshape(-1, x.shape[1])))
+        self._update(0, *_rows_sum(np.concatenate([one, two]), np.concatenate([back * self.scales[0], back * self.scales[1]])))
+        self._update(2, np.arange(2), np.stack([(back * a).sum(0), (back * b).sum(0)]))
+
+    def _update(self, k: int, rows: np.ndarray, g: np.ndarray) -> None:
+        """AdaGrad on the rows that have a gradient."""
+        w, s = self.weights()[k], self.squares[k]
+        now = s[rows] + g * g
+        s[rows] = now
+        np.sqrt(now, out=now)
+        g *= RATE
+        g /= now
+        w[rows] += g
+
+    def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, r: np.random.Generator, batch: int) -> None:
+        order = r.permutation(len(target))
+        for at in range(0, len(order), batch):
+            k = order[at : at + batch]
+            self.step(one[k], two[k], target[k], r)
 
     def log_probs(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithms, exactly normalised; the normaliser of a context is computed once."""
-        n = len(self.shares)
-        if self.normalisers is None:
-            self.normalisers = np.full(n * n, np.nan)
-        pairs = one.astype(np.int64) * n + two
-        new = np.unique(pairs)
-        new = new[np.isnan(self.normalisers[new])]
-        for at in range(0, len(new), 4096):
-            p = new[at : at + 4096]
-            x = (self.contexts[p // n] * self.scales[0] + self.contexts[p % n] * self.scales[1]) @ self.targets.T + self.bias
-            top = x.max(1, keepdims=True)
-            self.normalisers[p] = top[:, 0] + np.log(np.exp(x - top).sum(1, dtype=np.float64))
+        """Natural logarithms, exactly normalised at each level."""
         out = np.empty(len(target))
-        for at in range(0, len(target), 1 << 18):
-            k = slice(at, at + (1 << 18))
-            mixed = self.contexts[one[k]] * self.scales[0] + self.contexts[two[k]] * self.scales[1]
-            out[k] = np.einsum("ij,ij->i", mixed, self.targets[target[k]], dtype=np.float64) + self.bias[target[k]] - self.normalisers[pairs[k]]
+        for at in range(0, len(target), 1 << 17):
+            k = slice(at, at + (1 << 17))
+            out[k] = self._log_probs(one[k], two[k], target[k])
+        return out
+
+    def _log_probs(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+        order = np.argsort(target, kind="stable")  # then the tokens of a parent stand together at every level
+        t, x = target[order], self.mixed(self.contexts[one[order]], self.contexts[two[order]])
+        lp, w = np.zeros(len(t)), self.tree.width
+        for level, step in enumerate((w**3, w * w, w)):
+            first = np.flatnonzero(np.diff(t // step, prepend=-1))
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(t)]):
+                low = int(t[i]) // step * w
+                n = min(w, self.tree.counts[level] - low)
+                o = self.tree.offsets[level] + low
+                for a in range(i, j, 1 << 14):
+                    z = min(j, a + (1 << 14))
+                    s = x[a:z] @ self.nodes[o : o + n].T
+                    own = s[np.arange(z - a), t[a:z] // (step // w) - low]
+                    np.exp(s, out=s)
+                    lp[a:z] += own - np.log(s.sum(1))
+        out = np.empty(len(t))
+        out[order] = lp
         return out
 
 
-def _rows_sum(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    order = np.argsort(at, kind="stable")
-    s = at[order]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    out = np.zeros((n, values.shape[1]), np.float32)
-    out[s[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+def _rows_sum(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sums of their values. Sorting row and place as one number keeps the order of summation."""
+    both = np.sort(at.astype(np.int64) << 24 | np.arange(len(at)))
+    s = both >> 24
+    first = np.flatnonzero(np.diff(s, prepend=-1))
+    return s[first], np.add.reduceat(values[both & 0xFFFFFF], first, axis=0)
 
 
 class Vocabulary:
-    """ranks: keys of the frequent words, the commonest first, and their counts; the figures that all words share."""
+    """keys of the frequent words, the commonest first, and their counts; the figures that all words share; the leaves."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, documents: int, once: int, twice: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens_: int, distinct: int, documents: int, once: int, twice: int):
         self.keys, self.counts, self.documents = keys, counts, documents
-        self.tokens, self.distinct = tokens, distinct  # with end tokens
-        k = min(SHORTLIST, len(keys))
-        self.short, self.end, self.other = k, k, k + 1
-        self.other_tokens = max(0, tokens - documents - int(counts[:k].sum()))
-        self.other_words = max(0, distinct - (documents > 0) - k)
-        once, twice = once - int((counts[:k] == 1).sum()), twice - int((counts[:k] == 2).sum())
+        self.tokens, self.distinct = tokens_, distinct  # with end tokens
         self.discount = once / (once + 2 * twice) if once > 0 and twice > 0 else 0.5
-        shares = np.r_[counts[:k], documents, self.other_tokens].astype(np.float64) + 0.5
-        self.shares = shares / shares.sum()
-
-    def other_log(self, c: np.ndarray) -> np.ndarray:
-        """log10 of a word's probability among the other words, by its count; 0: the slot for unseen words."""
-        if not self.other_tokens:
-            return np.zeros(len(c))
-        return np.log10(np.where(c > 0, c - self.discount, self.discount * self.other_words) / self.other_tokens)
+        self.unseen = max(1.0, once * (once - 1) / (2 * (twice + 1)))  # words there are but that no training text has
+        self.own = min(len(keys), max(1000, int(2 * tokens_**0.5)))
+        self.buckets = max(1, self.own // 4)
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & 0xFFFF) % self.buckets
+
+    def add_buckets(self, totals: np.ndarray, words: np.ndarray) -> None:
+        """totals, words: tokens and distinct words by bucket, those with vectors of their own included."""
+        at, c = self.bucket(self.keys[: self.own]), self.counts[: self.own]
+        totals = totals - np.bincount(at, c, self.buckets)
+        words = words - np.bincount(at, minlength=self.buckets)
+        self.reserve = self.discount * words.sum() / self.buckets or 1.0  # of each bucket, for unseen words
+        self.mass = np.maximum(totals - self.discount * words, 0.0) + self.reserve
+        share = np.r_[c, self.documents, self.mass].astype(np.float64) + 0.5
+        order = np.argsort(-share, kind="stable")
+        self.shares = share[order] / share.sum()
+        leaf = np.empty(len(order), np.int64)
+        leaf[order] = np.arange(len(order))
+        self.end, self.bucket_leaf = int(leaf[self.own]), leaf[self.own + 1 :]
+        bucket = self.bucket(self.keys)
+        self.leaf_of = np.where(np.arange(len(self.keys)) < self.own, np.r_[leaf[: self.own], np.zeros(len(self.keys) - self.own, np.int64)], self.bucket_leaf[bucket])
+        inside = np.log10(np.maximum(self.counts - self.discount, 1e-9)) - np.log10(self.mass[bucket])
+        self.inside_of = np.where(np.arange(len(self.keys)) < self.own, 0.0, inside)
+        self.unseen_log = float(np.log10(self.reserve / max(1.0, self.unseen / self.buckets)))  # of an unseen word, before the bucket's mass
+
+    @property
+    def replicas(self) -> int:
+        """So many that their weights together are about a byte for each token."""
+        return max(1, round(self.tokens**0.5 / 256))
+
+    @property
+    def batch(self) -> int:
+        return int(np.clip(self.tokens // self.replicas // 1000, 128, 2048))
 
     @functools.cached_property
     def codes(self) -> _Codes:
@@ -160,30 +238,61 @@ class Vocabulary:
         """Codes of the words of all texts, -1 at each end, and the texts' token counts."""
         out, sizes = [], []
         for t in texts:
-            w = (t.as_py() or "").encode().translate(_CASE).split()
+            w = tokens(t.as_py())
             out += [np.fromiter(map(self.codes.__getitem__, w), np.int64, len(w)), np.array([-1])]
             sizes.append(len(w) + 1)
         return np.concatenate([np.empty(0, np.int64), *out]), np.array(sizes, np.int64)
 
-    def classes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The classes before, two before and at each token; before a text stand ends."""
-        target = np.where((codes >= 0) & (codes < self.short), codes, np.where(codes == -1, self.end, self.other))
-        one = np.r_[self.end, target[:-1]]
-        two = np.where(one == self.end, self.end, np.r_[self.end, one[:-1]])
-        return one, two, target
+    def leaves(self, codes: np.ndarray) -> np.ndarray:
+        out = np.full(len(codes), self.end, np.int64)
+        known, rare = codes >= 0, codes < -1
+        out[known] = self.leaf_of[codes[known]]
+        out[rare] = self.bucket_leaf[self.bucket(codes[rare])]
+        return out
+
+    def contexts(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves one and two before each token; before a text stand ends."""
+        one = np.r_[self.end, leaves[:-1]]
+        return one, np.where(one == self.end, self.end, np.r_[self.end, one[:-1]])
+
+
+def pack(leaves: np.ndarray) -> bytes:
+    """Three bytes each."""
+    return leaves.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel().astype(np.int64)
 
 
 def count_words(df: DataFrame, text_col: str) -> DataFrame:
-    """key and c of every distinct word of all texts."""
-    rows = df.select(F.explode(words(ascii_lower(F.col(text_col)))).alias("w")).select(word_key(F.col("w")).alias("key"))
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    """key and c of every distinct word of all texts. Tasks add up what they read; about 200,000 words are held at a time."""
+    kinds = pa.schema([("key", pa.int64()), ("c", pa.int64())])
+
+    def out(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(map(word_key, seen), pa.int64()), pa.array(seen.values(), pa.int64())], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update(tokens(t.as_py()))
+                if len(seen) > 200_000:
+                    yield out(seen)
+                    seen.clear()
+        yield out(seen)
+
+    return df.select(text_col).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, documents: int, frequent: int = FREQUENT) -> Vocabulary:
     """The frequent words are those whose counts lie in the highest of fixed count ranges that hold at most `frequent`
     words together; histograms find them, so no task sorts the vocabulary."""
     level = F.floor(F.log2("c") * 32)
-    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("t"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once"), F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("twice")).collect()
+    one = lambda c: F.sum(F.when(F.col("c") == c, 1).otherwise(0))
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("t"), one(1).alias("once"), one(2).alias("twice")).collect()
     levels.sort(key=lambda r: -r["level"])  # 2048 rows at most
     cut, n = None, 0
     for r in levels:
@@ -194,69 +303,97 @@ def vocabulary(counts: DataFrame, documents: int, frequent: int = FREQUENT) -> V
     keys, c = (np.empty(0, np.int64),) * 2 if rows is None else (rows["key"].to_numpy(), rows["c"].to_numpy())
     order = np.lexsort((keys, -c))
     total = lambda x: sum(r[x] for r in levels)
-    return Vocabulary(keys[order], c[order], total("t") + documents, total("n") + (documents > 0), documents, total("once"), total("twice"))
+    v = Vocabulary(keys[order], c[order], total("t") + documents, total("n") + (documents > 0), documents, total("once"), total("twice"))
+    totals, words = np.zeros(v.buckets), np.zeros(v.buckets, np.int64)
+    for r in counts.groupBy(F.pmod(F.col("key").bitwiseAND(F.lit(0xFFFF)), F.lit(v.buckets)).alias("b")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("n")).collect():  # a row for each bucket, FREQUENT / 4 at most
+        totals[r["b"]], words[r["b"]] = r["t"], r["n"]
+    v.add_buckets(totals, words)
+    return v
+
 
+CHUNK = 1 << 18  # tokens that are shuffled together
 
-def train(df: DataFrame, text_col: str, vocab: Vocabulary, passes: int = 1) -> LogBilinear:
-    """The average of replicas, each trained on the texts of one task, all texts taking part; at most REPLICAS tasks.
 
-    Each task sends its weights in pieces, and pieces are summed in two steps on the executors, so the driver gets one
-    model per pass.
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """replica, number and leaves of runs of one replica's texts of CHUNK tokens or a little more; rows: replica, leaves."""
+    now, k, held, size = None, 0, [], 0
+    for b in batches:
+        for replica, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if held and (replica != now or size >= 3 * CHUNK):
+                yield now, k, unpack(b"".join(held))
+                k, held, size = k + 1 if replica == now else 0, [], 0
+            now = replica
+            held.append(raw.as_py())
+            size += len(held[-1])
+    if held:
+        yield now, k, unpack(b"".join(held))
+
+
+def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
+    """The average of replicas after the last round. rows: h (a hash that deals and orders them) and leaves.
+
+    Each round takes its share of the texts and starts from the average of the round before. Replicas send their weights in
+    pieces, and pieces are summed in two steps on the executors, so the driver gets one model per round.
     """
     model = LogBilinear(vocab.shares)
-    shared = df.sparkSession.sparkContext.broadcast(vocab)
-    for k in range(passes):
-        start = df.sparkSession.sparkContext.broadcast(model.flat())
+    many, batch = vocab.replicas, vocab.batch
+    shared = rows.sparkSession.sparkContext.broadcast(vocab)
+    for k in range(rounds):
+        start = rows.sparkSession.sparkContext.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
-            v, part = shared.value, TaskContext.get().partitionId()
-            m, r, seen = LogBilinear(v.shares), np.random.default_rng([k, part]), 0
-            m.load(start.value)
-            for b in batches:
-                for at in range(0, b.num_rows, 2000):
-                    one, two, target = v.classes(v.read(b.column(0).slice(at, 2000))[0])
-                    m.train(one, two, target, r)
-                    seen += len(target)
-            if seen:
-                yield _pieces(m.flat().astype(np.float64) * seen, float(seen), part % 32)
-
-        sums = df.select(text_col).coalesce(REPLICAS).mapInArrow(run, _PIECE)
+            v, now, m, seen = shared.value, None, None, 0
+            for replica, chunk, leaves in _chunks(batches):
+                if replica != now:
+                    if m is not None:
+                        yield _pieces(m.flat(), float(seen), now)
+                    now, m, seen = replica, LogBilinear(v.shares), 0
+                    m.load(start.value)
+                m.train(*v.contexts(leaves), leaves, np.random.default_rng([k, replica, chunk]), batch)
+                seen += len(leaves)
+            if m is not None:
+                yield _pieces(m.flat(), float(seen), now)
+
+        replica = F.pmod("h", F.lit(many))
+        mine = rows.filter(F.pmod(F.shiftright("h", 40), F.lit(rounds)) == k).select(replica.alias("replica"), "leaves", "h")
+        mine = mine.repartition(many, "replica").sortWithinPartitions("replica", "h", "leaves").select("replica", "leaves")
+        sums = mine.mapInArrow(run, _PIECE)
         for keys in (("piece", "lot"), ("piece",)):
-            sums = sums.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(functools.partial(_add, len(keys) == 2), _PIECE)
+            sums = sums.repartition(*keys).sortWithinPartitions("piece", "lot", "who").mapInArrow(functools.partial(_add, len(keys) == 2), _PIECE)
         got = sorted(sums.collect(), key=lambda x: x["piece"])
         if got:
             model.load(np.concatenate([np.frombuffer(x["v"], np.float64) / x["n"] for x in got]))
     return model
 
 
-_PIECE, _PIECES = "piece int, lot int, n double, v binary", 16
+_PIECE, _PIECES, _LOTS = "piece int, lot int, who int, n double, v binary", 16, 32
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["piece", "lot", "n", "v"])
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["piece", "lot", "who", "n", "v"])
 
 
-def _pieces(flat: np.ndarray, n: float, lot: int) -> pa.RecordBatch:
-    return _batch([(p, lot, n, x.tobytes()) for p, x in enumerate(np.array_split(flat, _PIECES))])
+def _pieces(flat: np.ndarray, n: float, who: int) -> pa.RecordBatch:
+    return _batch([(p, who % _LOTS, who, n, x.tobytes()) for p, x in enumerate(np.array_split(flat, _PIECES))])
 
 
 def _add(lots: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums rows of equal (piece, lot), or of equal piece, that come one after another."""
+    """Sums rows of equal (piece, lot), weighted by their tokens, or of equal piece, that come one after another."""
     now, total, n = None, None, 0.0
     for b in batches:
-        for piece, lot, m, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            key, x = (piece, lot if lots else 0), np.frombuffer(v, np.float64)
+        for piece, lot, _, m, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            key, x = (piece, lot if lots else 0), np.frombuffer(v, np.float32) * np.float64(m) if lots else np.frombuffer(v, np.float64)
             if key != now:
                 if now is not None:
-                    yield _batch([(*now, n, total.tobytes())])
+                    yield _batch([(*now, 0, n, total.tobytes())])
                 now, total, n = key, np.zeros(len(x)), 0.0
             total, n = total + x, n + m
     if now is not None:
-        yield _batch([(*now, n, total.tobytes())])
+        yield _batch([(*now, 0, n, total.tobytes())])
 
 
-def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trains: Column | None = None, passes: int = 1) -> DataFrame:
+def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trains: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of every row, learning from rows where trains holds (None: all).
 
     Null and empty texts are one end token. Without a training row every word is unseen: base_score counts with N = V = 0,
@@ -266,47 +403,66 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trai
     learn = docs.filter("trains")
     counts = materialize(count_words(learn, "text"), "lm-counts")
     vocab = vocabulary(counts, learn.count())
-    model = train(learn, "text", vocab, passes)
-    shared, weights = (df.sparkSession.sparkContext.broadcast(x) for x in (vocab, model.flat()))
-    kinds = pa.schema([("id", pa.string()), *((x, pa.int64()) for x in ("n_tokens", "n_known")), *((x, pa.float64()) for x in ("base", "lm")), ("rare", pa.list_(pa.int64()))])
+    shared = df.sparkSession.sparkContext.broadcast(vocab)
+    kinds = pa.schema([
+        ("id", pa.string()), ("trains", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("inside", pa.float64()),
+        ("rare", pa.list_(pa.int64())), ("leaves", pa.binary()),
+    ])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        m = LogBilinear(v.shares)
-        m.load(weights.value)
         base = np.r_[np.log10(v.counts + 0.1), np.log10(v.documents + 0.1)]  # the last: ends, of code -1
-        inside = np.r_[v.other_log(v.counts), 0.0]
+        inside, mass = np.r_[v.inside_of, 0.0], np.log10(v.mass)
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 codes, sizes = v.read(part.column(1))
                 if not len(sizes):
                     continue
                 first = np.cumsum(sizes) - sizes
                 common = codes >= -1
-                one, two, target = v.classes(codes)
-                lm = m.log_probs(one, two, target) / np.log(10)
-                lm += np.where((target == v.other) & common, inside[np.where(common, codes, -1)], 0.0)
                 known = (codes >= 0) | (codes == -1) & (v.documents > 0)
-                rare = codes[~common]
+                rare, frequent = codes[~common], codes[common]
+                sums = [np.zeros(len(codes)) for _ in range(2)]
+                sums[0][common], sums[1][common] = base[frequent], inside[frequent]
+                sums[1][~common] = -mass[v.bucket(rare)]
                 ends = np.add.reduceat(~common, first, dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ends)].astype(np.int32)), pa.array(rare))
-                sums = [np.add.reduceat(known, first, dtype=np.int64), np.add.reduceat(np.where(common, base[np.where(common, codes, -1)], 0.0), first), np.add.reduceat(lm, first)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in (sizes, *sums)), lists], schema=kinds)
+                raw = pack(v.leaves(codes))
+                leaves = [raw[3 * i : 3 * (i + n)] for i, n in zip(first.tolist(), sizes.tolist(), strict=True)]
+                sums = [pa.array(np.add.reduceat(x, first)) for x in sums]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes), pa.array(np.add.reduceat(known, first, dtype=np.int64)), *sums, lists, pa.array(leaves, pa.binary())], schema=kinds)
 
-    rows = docs.select(F.col("id").cast("string"), "text").mapInArrow(run, "id string, n_tokens long, n_known long, base double, lm double, rare array<long>")
+    rows = docs.select(F.col("id").cast("string"), "text", "trains").mapInArrow(read, "id string, trains boolean, n_tokens long, n_known long, base double, inside double, rare array<long>, leaves binary")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    tokens = rows.select("row", F.explode("rare").alias("key")).groupBy("key", "row").agg(F.count(F.lit(1)).alias("tf"))
-    seen = tokens.join(counts, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    unseen, words_, total = vocab.discount * vocab.other_words, vocab.other_words, vocab.other_tokens
-    inside = F.log10(F.when(F.col("c") > 0, F.col("c") - F.lit(vocab.discount)).otherwise(F.lit(unseen)) / F.lit(max(total, 1))) if words_ else F.lit(0.0)
-    extra = seen.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("x_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 0.1)).alias("x_base"), F.sum(F.col("tf") * inside).alias("x_lm")
+    model = train(rows.filter("trains").select(F.xxhash64("id", "leaves").alias("h"), "leaves"), vocab, rounds)
+    weights = df.sparkSession.sparkContext.broadcast(model.flat())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        m = LogBilinear(v.shares)
+        m.load(weights.value)
+        for b in batches:
+            raw, lm = b.column(1), []
+            for at in range(0, b.num_rows, 500):
+                texts = [x.as_py() for x in raw.slice(at, 500)]
+                sizes = np.array([len(x) // 3 for x in texts], np.int64)
+                leaves = unpack(b"".join(texts))
+                p = m.log_probs(*v.contexts(leaves), leaves)
+                lm.append(np.add.reduceat(p, np.cumsum(sizes) - sizes) / np.log(10))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.empty(0), *lm]))], names=["scored", "lm"])
+
+    scored = rows.select("row", "leaves").mapInArrow(run, "scored long, lm double")
+    seen = rows.select("row", F.explode("rare").alias("key")).groupBy("key", "row").agg(F.count(F.lit(1)).alias("tf")).join(counts, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    inside = F.when(F.col("c") > 0, F.log10(F.col("c") - F.lit(vocab.discount))).otherwise(F.lit(vocab.unseen_log))
+    extra = seen.groupBy(F.col("row").alias("scored")).agg(
+        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("x_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 0.1)).alias("x_base"), F.sum(F.col("tf") * inside).alias("x_lm"), F.lit(0.0).alias("lm")
     )
-    out = rows.join(extra, "row", "left")
+    scored = scored.select("scored", F.lit(0).cast("long").alias("x_known"), F.lit(0.0).alias("x_base"), F.lit(0.0).alias("x_lm"), "lm")
+    sums = scored.unionByName(extra).groupBy("scored").agg(*[F.sum(x).alias(x) for x in ("x_known", "x_base", "x_lm", "lm")])
+    out = rows.select("row", "id", "n_tokens", "n_known", "base", "inside").join(sums, F.col("row") == F.col("scored"))
     each = float(np.log10(vocab.tokens + 0.1 * (vocab.distinct + 1)))
-    add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select(
-        F.col("id").cast(docs.schema["id"].dataType).alias("id"), "n_tokens", add("n_known", "x_known").alias("n_known"), F.lit(int(vocab.tokens)).cast("long").alias("train_tokens"),
-        (add("base", "x_base") - F.col("n_tokens") * F.lit(each)).alias("base_score"), add("lm", "x_lm").alias("score"),
+        F.col("id").cast(docs.schema["id"].dataType).alias("id"), "n_tokens", (F.col("n_known") + F.col("x_known")).alias("n_known"), F.lit(int(vocab.tokens)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("x_base") - F.col("n_tokens") * F.lit(each)).alias("base_score"), (F.col("inside") + F.col("x_lm") + F.col("lm")).alias("score"),
     )
