@@ -101,7 +101,8 @@ def read_seek_table(tail: bytes, size: int) -> list[tuple[int, int, int]]:
 class _Bundles:
     """Writes records to bundle files and notes where each one went."""
 
-    def __init__(self, folder: str, name: str, level: int):
+    def __init__(self, folder: str, name: str, level: int, frame_bytes: int, bundle_bytes: int):
+        self.frame_bytes, self.bundle_bytes = frame_bytes, bundle_bytes
         self.fs, self.path = pyarrow.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(self.path)
         self.name, self.packer, self.k = name, zstandard.ZstdCompressor(level=level), 0
@@ -111,7 +112,7 @@ class _Bundles:
     def add(self, page_id: int | None, rec: bytes) -> None:
         self.inside.append((page_id, len(self.raw), len(rec)))
         self.raw += rec
-        if len(self.raw) >= FRAME_BYTES:
+        if len(self.raw) >= self.frame_bytes:
             self.frame()
 
     def frame(self) -> None:
@@ -126,7 +127,7 @@ class _Bundles:
         self.frames.append((len(packed), len(self.raw)))
         self.at += len(packed)
         self.raw, self.inside = bytearray(), []
-        if self.at >= BUNDLE_BYTES:
+        if self.at >= self.bundle_bytes:
             self.close()
 
     def close(self) -> None:
@@ -162,8 +163,9 @@ def mark_revisits(df: DataFrame, *, id_col: str = "page_id", payload_col: str =
     return rows.withColumn("refers to", F.when(~own, F.col("many last"))).drop("many key", "many last")
 
 
-def write_archives(df: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, level: int = 3) -> DataFrame:
-    """Write each row as a record into bundles under folder, a path of the shared storage; the index table.
+def write_archives(df: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, level: int = 3, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+    """Write each row as a record into bundles under folder, a path of the shared storage; the index table. A frame ends
+    with the record that takes it to frame_bytes, a bundle with the frame that takes it to bundle_bytes (compressed).
 
     One record per row, repeated rows too. Null payloads are empty, null urls leave the header out, null ids read back as
     null. A record longer than a frame has a frame of its own. An empty table writes no file. Other columns are not kept.
@@ -173,7 +175,7 @@ def write_archives(df: DataFrame, folder: str, *, id_col: str = "page_id", url_c
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        b = _Bundles(folder, f"part-{task.partitionId():05d}-{task.taskAttemptId()}", level)
+        b = _Bundles(folder, f"part-{task.partitionId():05d}-{task.taskAttemptId()}", level, frame_bytes, bundle_bytes)
         for batch in batches:
             for page_id, url, payload, ref in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b.add(page_id, record(page_id, url, payload, ref))

@@ -323,13 +323,11 @@ def test_warc(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
-def test_warc_readers_are_spread_and_damage_fails(spark, monkeypatch):
-    monkeypatch.setattr(warc, "BUNDLE_BYTES", 2000)
-    monkeypatch.setattr(warc, "FRAME_BYTES", 500)
+def test_warc_readers_are_spread_and_damage_fails(spark):
     r = random.Random(3)
     df = spark.createDataFrame([(k, "u", "".join(r.choice("abcdefgh") for _ in range(2000))) for k in range(60)], "page_id long, url string, html string").repartition(2)
     folder = new_folder(spark, "test-warc3")
-    at = warc.write_archives(df, folder)
+    at = warc.write_archives(df, folder, frame_bytes=500, bundle_bytes=2000)
     files = [x["file"] for x in at.select("file").distinct().collect()]
     read = warc.read_archives(at, folder)
     assert len(files) > 10 and read.rdd.getNumPartitions() == len(files)
