@@ -1,11 +1,13 @@
 """Unicode properties, normal forms and option-driven mapping as Arrow UDFs.
 
 The properties are those of the Python that runs (unicodedata and regex), which may be one Unicode version behind others.
-UTF-8 validity and encoding stay in Spark's own functions.
+UTF-8 validity and encoding stay in Spark's own functions. What a character maps to is worked out once per worker; texts go
+through tables of the characters seen.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable
 
@@ -50,9 +52,12 @@ def error_text(code: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ERRORS.items() for x in kv]), code.cast("int")), F.lit(UNKNOWN_ERROR))
 
 
-def versions() -> tuple[str, str]:
-    """The version of these functions and that of their Unicode data."""
-    return "1.0.0", unicodedata.unidata_version
+VERSIONS = ("2.10.0", "16.0.0")  # fixed values: the version of the functions whose semantics these follow, and of Unicode in it
+
+
+def versions() -> tuple[str, str, str]:
+    """VERSIONS and the Unicode version of the data that runs here."""
+    return (*VERSIONS, unicodedata.unidata_version)
 
 
 def valid_code_point(c: Column) -> Column:
@@ -109,14 +114,70 @@ def grapheme_count(c: Column) -> Column:
     return _udf(lambda s: len(_CLUSTER.findall(s)), "long", pa.int64())(c)
 
 
+def breaks(c: Column) -> Column:
+    """array<boolean>: for each character but the first, whether a grapheme cluster begins there, with all before it in mind."""
+    return _udf(lambda s: [k == 0 for x in _CLUSTER.findall(s) for k in range(len(x))][1:], "array<boolean>", pa.list_(pa.bool_()))(c)
+
+
+def break_between(a: Column, b: Column) -> Column:
+    """Whether a grapheme cluster ends between two characters (the first of each text) with nothing before them in mind; null
+    if either is null or empty."""
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([len(_CLUSTER.findall(p[0] + q[0])) == 2 if p and q else None for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(a, b)
+
+
+PROPERTIES = pa.struct([
+    ("category", pa.string()), ("combining_class", pa.int32()), ("bidi_class", pa.string()), ("bidi_mirrored", pa.bool_()), ("decomposition_type", pa.string()),
+    ("decomposition", pa.string()), ("uppercase", pa.string()), ("lowercase", pa.string()), ("titlecase", pa.string()), ("casefold", pa.string()), ("width", pa.int32()),
+    ("ambiguous_width", pa.bool_()), ("ignorable", pa.bool_()), ("control_boundary", pa.bool_()),
+])
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _properties(ch: str) -> dict:
+    parts = unicodedata.decomposition(ch).split()
+    kind = parts.pop(0)[1:-1] if parts and parts[0].startswith("<") else "canonical" if parts else None
+    category_ = unicodedata.category(ch)
+    return {
+        "category": category_, "combining_class": unicodedata.combining(ch), "bidi_class": unicodedata.bidirectional(ch) or None, "bidi_mirrored": bool(unicodedata.mirrored(ch)),
+        "decomposition_type": kind, "decomposition": "".join(chr(int(x, 16)) for x in parts) or None, "uppercase": to_upper(ch), "lowercase": to_lower(ch), "titlecase": to_title(ch),
+        "casefold": ch.casefold(), "width": _width(ch), "ambiguous_width": unicodedata.east_asian_width(ch) == "A", "ignorable": bool(_IGNORABLE.match(ch)),
+        "control_boundary": category_ in ("Zl", "Zp", "Cc", "Cf") and ch not in "\u200c\u200d",
+    }
+
+
+def properties(c: Column) -> Column:
+    """The record of each text's first character; null for null and empty texts. decomposition_type is null, canonical or the
+    tag of a compatibility mapping; unassigned characters have category Cn."""
+    kinds = {pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean"}
+    kind = "struct<" + ",".join(f"{f.name}:{kinds[f.type]}" for f in PROPERTIES) + ">"
+    return _udf(lambda s: _properties(s[0]) if s else None, kind, PROPERTIES)(c)
+
+
 def category(c: Column) -> Column:
     """The general category of each text's first character."""
     return _udf(lambda s: unicodedata.category(s[0]) if s else None, "string", pa.string())(c)
 
 
+class _OneToOne(dict):
+    """Code point to its mapping; characters whose mapping is longer stay."""
+
+    def __init__(self, change: Callable[[str], str]):
+        self.change = change
+
+    def __missing__(self, point: int) -> str:
+        ch = chr(point)
+        self[point] = x if len(x := self.change(ch)) == 1 else ch
+        return self[point]
+
+
 def _one(change: Callable[[str], str]) -> Callable[[str], str]:
-    """One-to-one case mapping: characters whose mapping is longer stay."""
-    return lambda s: "".join(x if len(x := change(c)) == 1 else c for c in s)
+    """One-to-one case mapping."""
+    seen = _OneToOne(change)
+    return lambda s: s.translate(seen)
 
 
 to_lower, to_upper, to_title = (_one(f) for f in (str.lower, str.upper, str.title))
@@ -144,6 +205,7 @@ def is_upper(c: Column) -> Column:
     return _udf(lambda s: bool(s) and to_upper(s[0]) == s[0] != to_lower(s[0]) and unicodedata.category(s[0]) != "Lt", "boolean", pa.bool_())(c)
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _width(ch: str) -> int:
     kind = unicodedata.category(ch)
     if kind in ("Mn", "Me", "Cc", "Cf", "Zl", "Zp", "Cs", "Cn") and ch != "­":
@@ -168,6 +230,7 @@ def _lump(ch: str, options: int) -> str:
     return LUMPED_CATEGORIES.get(kind) or LUMPS.get(ord(ch), ch)
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _decomposed(ch: str, options: int) -> str:
     """One character after the filters and foldings; their result is decomposed again under the same options."""
     kind = unicodedata.category(ch)

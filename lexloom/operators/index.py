@@ -1,18 +1,17 @@
 """Positional inverted index: typed tokens, chunks, positions, posting lists and seek tables.
 
 Tokens explode inside the scan; only (chunk, key, position) rows are shuffled. Positions need prefix sums over documents,
-one narrow row each, and never over tokens.
+one narrow row each, and never over tokens. Sums and chunk borders come from range partitions and the totals of those
+before them, so no task sees all documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import ascii_lower
+from lexloom.session import materialize
 
 MAX_DOCS, MAX_WORDS = 5000, 800_000
 
@@ -49,27 +48,78 @@ def token_count(parsed: DataFrame) -> Column:
     return (F.size("body") + F.size("head") + F.size("title") + anchors + 2).cast("long")
 
 
-def assign_chunks(lengths: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, n_tokens, chunk_id, doc_seq, start of each document (doc_id, n_tokens), in the order of doc_id.
+def _ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df in range partitions by the columns `order` (nulls first), each with its number in the column part."""
+    return df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+
+
+def _prefix(df: DataFrame, order: list[str], size: str | None = None) -> DataFrame:
+    """df with part, at (its place in the order, from 0) and, with a size column, upto (the sum of the sizes before it)."""
+    rows = materialize(_ranged(df, *order), "prefix-rows")
+    w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size_ = F.col(size) if size else F.lit(0).cast("long")
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(size_).alias("t"))  # a row for each partition
+    over = Window.orderBy("part")
+    parts = parts.select("part", (F.sum("n").over(over) - F.col("n")).alias("n before"), (F.sum("t").over(over) - F.col("t")).alias("t before"))
+    out = rows.withColumns({"in at": F.count(F.lit(1)).over(w) - 1, "in upto": F.sum(size_).over(w) - size_}).join(F.broadcast(parts), "part")
+    out = out.withColumns({"at": F.col("in at") + F.col("n before"), "upto": F.col("in upto") + F.col("t before")})
+    return out.select("part", *df.columns, "at", *["upto"] * bool(size))
+
+
+def _next_starts(places: DataFrame, max_docs: int, max_words: int) -> DataFrame:
+    """i, j: the document after a chunk that begins at document i. Chunks without one after them are left out.
 
-    A chunk ends with the document after which it has more than max_docs documents and more than max_words tokens; where
-    the next one ends depends on that, so one task reads the rows in order and keeps two counters. They hold two
-    numbers per document. start is the position of the first token in the chunk; doc_seq counts from 0.
+    It is the later of i + max_docs + 1 and the first document before which there are more than max_words tokens from i on.
+    Documents and the sums they ask for are sorted by sum in range partitions; what a partition lacks comes from the ones after.
     """
+    none = F.lit(None).cast("long")
+    both = places.select(F.col("upto").alias("sum"), F.col("at").alias("j"), none.alias("i")).unionByName(
+        places.select((F.col("upto") + max_words).alias("sum"), none.alias("j"), F.col("at").alias("i"))
+    )
+    both = materialize(_ranged(both, "sum"), "chunk-sums")
+    w = Window.partitionBy("part").orderBy(F.desc("sum"), F.col("i").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = both.groupBy("part").agg(F.min("j").alias("least"))
+    later = later.select("part", F.min("least").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    found = both.withColumn("near", F.min("j").over(w)).filter("i IS NOT NULL").join(F.broadcast(later), "part")
+    found = found.select("i", F.coalesce("near", "later").alias("j")).filter("j IS NOT NULL").select("i", F.greatest("j", F.col("i") + max_docs + 1).alias("j"))
+    return found.join(places.select(F.col("at").alias("j")), "j", "left_semi")
+
+
+def _chunk_starts(places: DataFrame, max_docs: int, max_words: int) -> DataFrame:
+    """s: the first document of every chunk. From document 0 the next starts are followed by pointer doubling: each round
+    doubles the starts that are known and the length of the jumps."""
+    jumps = materialize(_next_starts(places, max_docs, max_words).select("i", "j"), "chunk-jumps")
+    starts = places.filter("at = 0").select(F.col("at").alias("s"))
+    while True:
+        more = materialize(starts.join(jumps, F.col("s") == F.col("i")).select(F.col("j").alias("s")), "chunk-starts")
+        if more.isEmpty():
+            return starts
+        starts = materialize(starts.unionByName(more), "chunk-starts")
+        jumps = materialize(jumps.join(jumps.select(F.col("i").alias("j"), F.col("j").alias("k")), "j").select("i", F.col("k").alias("j")), "chunk-jumps")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = docs = total = 0
-        for b in batches:
-            out = []
-            for n in b.column(1).to_pylist():
-                out.append((chunk, docs, total))
-                docs, total = docs + 1, total + n
-                if docs > max_docs and total > max_words:
-                    chunk, docs, total = chunk + 1, 0, 0
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array([x[k] for x in out], pa.int64()) for k in range(3))], names=["doc_id", "n_tokens", "chunk_id", "doc_seq", "start"])
 
-    ordered = lengths.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long")).coalesce(1).sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, "doc_id long, n_tokens long, chunk_id long, doc_seq long, start long")
+def assign_chunks(lengths: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> DataFrame:
+    """lengths (doc_id, n_tokens and any columns that order rows of one id) with chunk_id, doc_seq and start.
+
+    Documents go in the order of doc_id, null first; each row is a document of its own. A chunk ends with the document after
+    which it has more than max_docs documents and more than max_words tokens. start is the position of the first token in
+    the chunk; doc_seq counts from 0.
+    """
+    ties = [c for c in lengths.columns if c not in ("doc_id", "n_tokens")]
+    rows = lengths.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long"), *ties)
+    places = materialize(_prefix(rows, ["doc_id", *ties], "n_tokens"), "chunk-places")
+    docs, words = places.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+    zero = F.lit(0).cast("long")
+    if docs <= max_docs or words <= max_words:
+        return places.select("doc_id", "n_tokens", *ties, zero.alias("chunk_id"), F.col("at").alias("doc_seq"), F.col("upto").alias("start"))
+    starts = _prefix(_chunk_starts(places, max_docs, max_words), ["s"]).select("s", F.col("at").alias("chunk_id"))
+    firsts = F.when(F.col("s").isNotNull(), F.struct("chunk_id", "at", "upto"))
+    marked = materialize(places.join(starts, F.col("at") == F.col("s"), "left").select("doc_id", "n_tokens", *ties, "part", "at", "upto", firsts.alias("first")), "chunk-marks")
+    last = marked.groupBy("part").agg(F.max("first").alias("last"))  # a row for each partition
+    earlier = last.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    w = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = marked.withColumn("own", F.max("first").over(w)).join(F.broadcast(earlier), "part").withColumn("c", F.coalesce("own", "earlier"))
+    return out.select("doc_id", "n_tokens", *ties, "c.chunk_id", (F.col("at") - F.col("c.at")).alias("doc_seq"), (F.col("upto") - F.col("c.upto")).alias("start"))
 
 
 def tokens(parsed: DataFrame) -> DataFrame:
@@ -77,11 +127,26 @@ def tokens(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.posexplode(token_list(parsed)).alias("offset", "t")).select("doc_id", F.col("offset").cast("long").alias("offset"), "t.key", "t.type")
 
 
+def placed(parsed: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> DataFrame:
+    """parsed with chunk_id, doc_seq and start, by assign_chunks(). Rows that repeat an id go in the order of their content's
+    hash; rows equal in everything are documents one after another. The join is on id and hash: pages are moved if the table
+    of places is above Spark's broadcast threshold."""
+    keyed = parsed.withColumn("content", F.xxhash64("url", "body", "head", "title", "links"))
+    places = materialize(assign_chunks(keyed.select("doc_id", "content", token_count(parsed).alias("n_tokens")), max_docs, max_words), "places")
+    places = places.select(F.col("doc_id").alias("place id"), F.col("content").alias("place content"), "chunk_id", "doc_seq", "start")
+    same = F.col("doc_id").eqNullSafe(F.col("place id")) & (F.col("content") == F.col("place content"))
+    twice = materialize(places.groupBy("place id", "place content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "places-repeated")
+    if not twice.isEmpty():  # one of several equal rows stands for all their places
+        once = keyed.join(twice, same, "left_semi").dropDuplicates(["doc_id", "content"])
+        keyed = keyed.join(twice, same, "left_anti").unionByName(once)
+    return keyed.join(places, same).drop("place id", "place content", "content")
+
+
 def occurrences(parsed: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> DataFrame:
     """chunk_id, key, type, doc_seq, pos of every token."""
-    places = assign_chunks(parsed.select("doc_id", token_count(parsed).alias("n_tokens")), max_docs, max_words)
-    rows = tokens(parsed).join(places.select("doc_id", "chunk_id", "doc_seq", "start"), "doc_id")
-    return rows.select("chunk_id", "key", "type", "doc_seq", (F.col("start") + F.col("offset")).alias("pos"))
+    rows = placed(parsed, max_docs, max_words)
+    rows = rows.select("chunk_id", "doc_seq", "start", F.posexplode(token_list(rows)).alias("offset", "t"))
+    return rows.select("chunk_id", "t.key", "t.type", "doc_seq", (F.col("start") + F.col("offset")).alias("pos"))
 
 
 def deltas(occ: DataFrame) -> DataFrame:
@@ -138,16 +203,20 @@ def post_bits(code: Column) -> Column:
     return F.trim(F.regexp_replace(F.substring(F.lpad(digits, 48, "0"), F.lit(49) - 8 * post_length(code), 8 * post_length(code)), "(.{8})", "$1 "))
 
 
-def seek_rows(occ: DataFrame) -> DataFrame:
-    """chunk_id, key, index, location of the seek tables: at most one row per post, whenever its location (pos + 1) reaches
-    the next power of two. A running minimum over the key's posts gives the rows without a loop."""
+def _with_seek(occ: DataFrame) -> DataFrame:
+    """occ with index (of the post in its list) and full, before: how many seek rows there are with it and without it. A
+    running minimum over the key's posts gives them without a loop."""
     w = Window.partitionBy("chunk_id", "key").orderBy("pos")
-    i = F.row_number().over(w) - 1
-    rows = occ.select("chunk_id", "key", "pos", i.cast("long").alias("index"))
+    rows = occ.withColumn("index", (F.row_number().over(w) - 1).cast("long"))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = F.least(F.col("index") + 1, F.min(bits_needed(F.col("pos") + 1) - F.col("index")).over(upto) + F.col("index"))
-    rows = rows.withColumn("full", full).withColumn("before", F.lag("full", 1, 0).over(w))
-    return rows.filter("full > before").select("chunk_id", "key", "index", (F.col("pos") + 1).alias("location"))
+    return rows.withColumn("full", full).withColumn("before", F.lag("full", 1, 0).over(w))
+
+
+def seek_rows(occ: DataFrame) -> DataFrame:
+    """chunk_id, key, index, location of the seek tables: at most one row per post, whenever its location (pos + 1) reaches
+    the next power of two."""
+    return _with_seek(occ.select("chunk_id", "key", "pos")).filter("full > before").select("chunk_id", "key", "index", (F.col("pos") + 1).alias("location"))
 
 
 def posting_stats(occ: DataFrame) -> DataFrame:
@@ -160,16 +229,23 @@ def posting_stats(occ: DataFrame) -> DataFrame:
 
 def postings(occ: DataFrame) -> DataFrame:
     """One row per chunk and key: type, use_count, doc_count, reference_doc_count, deltas, seek. A list is at most as long
-    as its chunk, whose size is bounded."""
-    lists = deltas(occ).groupBy("chunk_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "delta"))), lambda x: x["delta"]).alias("deltas"))
-    seek = seek_rows(occ).groupBy("chunk_id", "key").agg(F.array_sort(F.collect_list(F.struct("index", "location"))).alias("seek"))
-    return posting_stats(occ).join(lists, ["chunk_id", "key"]).join(seek, ["chunk_id", "key"])
+    as its chunk, whose size is bounded. Tokens are read and shuffled once: the windows' partitioning serves the aggregation."""
+    w = Window.partitionBy("chunk_id", "key").orderBy("pos")
+    rows = _with_seek(deltas(occ)).withColumn("new", (~F.col("doc_seq").eqNullSafe(F.lag("doc_seq").over(w))).cast("long"))
+    seek = F.when(F.col("full") > F.col("before"), F.struct("index", (F.col("pos") + 1).alias("location")))
+    lists = rows.groupBy("chunk_id", "key").agg(
+        F.min(F.struct("pos", "type")).alias("first"), F.count(F.lit(1)).alias("use_count"), F.sum("new").alias("doc_count"), F.min("doc_seq").alias("least"),
+        F.array_sort(F.collect_list(F.struct("pos", "delta"))).alias("posts"), F.array_sort(F.collect_list(seek)).alias("seek"),
+    )
+    return lists.select(
+        "chunk_id", "key", F.col("first.type").alias("type"), "use_count", "doc_count", (F.col("doc_count") + (F.col("least") > 0).cast("long")).alias("reference_doc_count"),
+        F.col("posts.delta").alias("deltas"), "seek",
+    )
 
 
 def documents(parsed: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> DataFrame:
     """chunk_id, doc_seq, url."""
-    places = assign_chunks(parsed.select("doc_id", token_count(parsed).alias("n_tokens")), max_docs, max_words)
-    return parsed.select("doc_id", "url").join(places, "doc_id").select("chunk_id", "doc_seq", "url")
+    return placed(parsed, max_docs, max_words).select("chunk_id", "doc_seq", "url")
 
 
 def top_terms(stats: DataFrame, n: int) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Eight-word shingles, 16-function signatures and two-band LSH.
+"""Eight-word shingles, 16-function signatures and LSH.
 
-Two word lists are similar if at least 15 of their 16 signature values agree. Then one half of the values agrees in full,
-so joining on either half finds every similar pair. Joins run on distinct signatures only; documents that share one are
-similar by definition and are expanded at the end, where a caller asks for pairs.
+Two word lists are similar if at least 15 of their 16 signature values agree. So they have a masked signature in common:
+the signature with one value left out. Equal masks mean similar, and two different signatures share one mask at most, so
+existence, numbers of links and greedy rounds are aggregations over 16 masks of every distinct signature, without a
+candidate that must be checked and without pairs. Documents of one signature are a class; pairs of classes, and of
+documents, are made where a caller asks for them.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import words
-from lexloom.session import materialize
+from lexloom.session import discard, materialize
 
 SHINGLE, FUNCTIONS, AGREE, TILES = 8, 16, 15, 4
 
@@ -124,35 +126,31 @@ def add_signatures(df: DataFrame, *, id_col: str = "doc_id", text_col: str | Non
     return df.select(F.col(id_col).alias("id"), w.alias("words")).select("id", F.size("words").alias("n_words"), signature(F.col("words")).alias("sig"))
 
 
-def _agreeing(a: str, b: str) -> Column:
-    return sum((F.get(a, F.lit(j)) == F.get(b, F.lit(j))).cast("int") for j in range(FUNCTIONS))
-
-
-def _half(sig: str, k: int) -> Column:
-    return F.slice(sig, k * 8 + 1, 8)
+def masks(sig: Column) -> Column:
+    """array<string>: the 16 values in hexadecimal, with each in turn left out."""
+    digits = F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")
+    return F.array(*[F.overlay(digits, F.lit("--"), 2 * j + 1, 2) for j in range(FUNCTIONS)])
 
 
 def distinct_signatures(signed: DataFrame) -> DataFrame:
     return signed.select("sig").distinct()
 
 
+def _masked(signatures_: DataFrame, *others: str) -> DataFrame:
+    """mask, sig and other columns: 16 rows for each of the distinct signatures."""
+    return signatures_.select(F.explode(masks(F.col("sig"))).alias("mask"), "sig", *others)
+
+
 def similar_signatures(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (sig_a, sig_b) of a distinct signature on either side that agree in 15 values; the two halves are joined one by
-    one, the second without what the first found, so no pair comes twice."""
-    out = None
-    for k in (0, 1):
-        a = left.select(F.col("sig").alias("sig_a"), _half("sig", k).alias("band"))
-        b = right.select(F.col("sig").alias("sig_b"), _half("sig", k).alias("band_b"))
-        pairs = a.join(b, F.col("band") == F.col("band_b")).filter(_agreeing("sig_a", "sig_b") >= AGREE)
-        if k:
-            pairs = pairs.filter(_half("sig_a", 0) != _half("sig_b", 0))
-        pairs = pairs.select("sig_a", "sig_b")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    """Pairs (sig_a, sig_b) of a distinct signature on either side that agree in 15 values or all; no pair comes twice."""
+    a, b = _masked(left).withColumnRenamed("sig", "sig_a"), _masked(right).withColumnRenamed("sig", "sig_b")
+    near = a.join(b, "mask").filter("sig_a <> sig_b").select("sig_a", "sig_b")
+    return near.unionByName(left.join(right, "sig", "left_semi").select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b")))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """id_a, id_b of similar rows of two signed tables. Empty word lists on the left are similar to nothing."""
+    """id_a, id_b of similar rows of two signed tables. Empty word lists on the left are similar to nothing. The result can
+    have as many rows as there are pairs; similar_classes() and links() do not."""
     left, right = left.filter("n_words > 0"), right
     pairs = similar_signatures(distinct_signatures(left), distinct_signatures(right))
     a, b = left.select(F.col("id").alias("id_a"), F.col("sig").alias("sa")), right.select(F.col("id").alias("id_b"), F.col("sig").alias("sb"))
@@ -164,9 +162,35 @@ def similar_within(signed: DataFrame) -> DataFrame:
     return similar_pairs(signed.filter("n_words > 0"), signed.filter("n_words > 0")).filter("id_a < id_b")
 
 
+def _classes(signed: DataFrame) -> DataFrame:
+    """sig, class_id (the smallest id) and size of the classes of rows with words."""
+    return signed.filter("n_words > 0").groupBy("sig").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+
+
+def links(signed: DataFrame) -> DataFrame:
+    """id, class_id (the smallest id of the same signature) and n_links (how many other rows are similar). Rows without words
+    have no link and are their own class."""
+    classes = materialize(_classes(signed), "shingle-classes")
+    masked = _masked(classes, "size")
+    weight = masked.groupBy("mask").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    near = masked.join(weight, "mask").groupBy("sig").agg(F.sum(F.col("weight") - F.col("size")).alias("near"))
+    of = classes.join(near.withColumnRenamed("sig", "near sig"), F.col("sig") == F.col("near sig"), "left")
+    of = of.select(F.col("sig").alias("class sig"), "class_id", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    out = signed.join(of, (F.col("sig") == F.col("class sig")) & (F.col("n_words") > 0), "left")
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def similar_classes(signed: DataFrame) -> DataFrame:
+    """class_a < class_b: the pairs of similar classes, which with links() stand for all similar pairs of rows."""
+    classes = materialize(_classes(signed), "shingle-classes").select("sig", "class_id")
+    side = lambda x: _masked(classes, "class_id").select("mask", F.col("class_id").alias(x))
+    return side("class_a").join(side("class_b"), "mask").filter("class_a < class_b").select("class_a", "class_b")
+
+
 def is_similar(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """queries with similar: whether a row of corpus is. Existence is decided per distinct signature, never per pair."""
-    hit = similar_signatures(distinct_signatures(queries.filter("n_words > 0")), distinct_signatures(corpus)).select(F.col("sig_a").alias("hit")).distinct()
+    known = _masked(distinct_signatures(corpus)).select("mask").distinct()
+    hit = _masked(distinct_signatures(queries.filter("n_words > 0"))).join(known, "mask", "left_semi").select(F.col("sig").alias("hit")).distinct()
     out = queries.join(hit, F.col("sig") == F.col("hit"), "left")
     return out.select("id", "n_words", "sig", (F.col("hit").isNotNull() & (F.col("n_words") > 0)).alias("similar"))
 
@@ -178,24 +202,21 @@ def novel(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 def greedy_dedup(signed: DataFrame) -> DataFrame:
     """The rows that stay if each is kept unless a kept one before it, by id, is similar. Empty lists always stay.
 
-    Only a signature's first row can stay. Rounds over distinct signatures: whoever has no undecided or kept signature
-    before it is kept and drops those it is similar to; each round's states are a table in the shared folder.
+    Only a signature's first row can stay. In each round a mask knows its first kept and its first undecided signature:
+    whoever has no earlier one of either kind in its masks is kept, and whoever has an earlier kept one is dropped. A round's
+    states are a table in the shared folder.
     """
     first = signed.groupBy("sig").agg(F.min("id").alias("first"), F.min(F.when(F.col("n_words") == 0, F.col("id"))).alias("empty"))
-    first = materialize(first, "greedy-signatures")
-    only = first.select("sig")
-    at = lambda s, f: first.select(F.col("sig").alias(s), F.col("first").alias(f))
-    edges = similar_signatures(only, only).filter("sig_a <> sig_b").join(at("sa", "a"), F.col("sig_a") == F.col("sa")).join(at("sb", "b"), F.col("sig_b") == F.col("sb"))
-    edges = materialize(edges.select("a", "b").filter("a < b"), "greedy-edges")  # a comes before b
-    forced = first.filter("empty IS NOT NULL").select(F.col("empty").alias("id"))
-    kept = materialize(first.select(F.col("first").alias("id"), F.lit(None).cast("boolean").alias("kept")), "greedy-state")
-    while True:
-        live = edges.join(kept.filter("kept IS NULL").select(F.col("id").alias("b")), "b", "left_semi")
-        before = live.join(kept.filter("kept IS NULL OR kept").select(F.col("id").alias("a"), "kept"), "a")
-        states = before.groupBy(F.col("b").alias("id")).agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("near"), F.lit(True).alias("has"))
-        now = kept.join(states, "id", "left").select("id", F.coalesce("kept", F.when(F.col("near"), False).when(F.col("has").isNull(), True)).alias("kept"))
-        kept = materialize(now, "greedy-state")
-        if kept.filter("kept IS NULL").isEmpty():
-            break
-    stay = kept.filter("kept").select("id").unionByName(forced).unionByName(signed.filter("n_words = 0").select("id")).distinct()
+    state = materialize(first.withColumn("kept", F.lit(None).cast("boolean")), "greedy-state")
+    while not state.filter("kept IS NULL").isEmpty():
+        masked = _masked(state, "first", "kept").filter("kept IS NULL OR kept")
+        best = masked.groupBy("mask").agg(F.min(F.when(F.col("kept"), F.col("first"))).alias("stays"), F.min(F.when(F.col("kept").isNull(), F.col("first"))).alias("open"))
+        seen = masked.filter("kept IS NULL").join(best, "mask").groupBy(F.col("sig").alias("seen"))
+        seen = seen.agg(F.coalesce(F.bool_or(F.col("stays") < F.col("first")), F.lit(False)).alias("near"), F.coalesce(F.bool_or(F.col("open") < F.col("first")), F.lit(False)).alias("waits"))
+        decided = F.when(F.col("near"), False).when(~F.col("waits"), True)
+        now = state.join(seen, F.col("sig") == F.col("seen"), "left").select("sig", "first", "empty", F.coalesce("kept", decided).alias("kept"))
+        state, old = materialize(now, "greedy-state"), state
+        discard(old)
+    stay = state.filter("kept").select(F.col("first").alias("id")).unionByName(state.filter("empty IS NOT NULL").select(F.col("empty").alias("id")))
+    stay = stay.unionByName(signed.filter("n_words = 0").select("id")).distinct()
     return signed.join(stay, "id", "left_semi")

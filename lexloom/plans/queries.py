@@ -1,7 +1,4 @@
-"""The engine's operators as queries over whole tables, and their SQL where SQL can express them at a bearable cost.
-
-Hashes over bytes, stems and greedy rounds have none: tests compare those with literal models on small inputs.
-"""
+"""The engine's operators as queries over whole tables, and their SQL where SQL can express them at a bearable cost."""
 
 from __future__ import annotations
 
@@ -11,8 +8,8 @@ from pyspark.sql import functions as F
 from lexloom.functions import stem, unicode
 from lexloom.functions.text import LOWER, UPPER, ascii_lower, words
 from lexloom.operators import index, shingles
-from lexloom.session import table
-from lexloom.sources import pages
+from lexloom.session import new_folder, table
+from lexloom.sources import chunks, pages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,13 +46,27 @@ def _sql_lower(x: str) -> str:
     return f"translate({x}, '{UPPER}', '{LOWER}')"
 
 
-DOC_OCC = f"""
+def _sql_chunks(max_docs: int, max_words: int) -> str:
+    """From n (doc_id, n, i from 1) the fold over documents: r (doc_id, n_tokens, i, chunk_id, doc_seq, start)."""
+    full = f"doc_seq + 1 > {max_docs} AND start + n_tokens > {max_words}"
+    return f"""
+r AS (SELECT doc_id, n AS n_tokens, i, 0::BIGINT AS chunk_id, 0::BIGINT AS doc_seq, 0::BIGINT AS start FROM n WHERE i = 1
+  UNION ALL SELECT n.doc_id, n.n, n.i, CASE WHEN {full} THEN chunk_id + 1 ELSE chunk_id END, CASE WHEN {full} THEN 0 ELSE doc_seq + 1 END, CASE WHEN {full} THEN 0 ELSE start + n_tokens END
+  FROM r JOIN n ON n.i = r.i + 1)"""
+
+
+def _sql_doc_occ(max_docs: int = index.MAX_DOCS, max_words: int = index.MAX_WORDS) -> str:
+    return f"""RECURSIVE
 w AS (SELECT doc_id, regexp_extract_all({_sql_lower("coalesce(text, '')")}, {WORD}) AS w FROM documents),
 k AS (SELECT doc_id, list_concat(w, ['%', '##doc://' || doc_id]) AS k, list_concat(list_transform(w, lambda x: 'b'), ['e', 'u']) AS ty FROM w),
-n AS (SELECT doc_id, len(k)::BIGINT AS n, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS seq,
-  coalesce(sum(len(k)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM k),
-occ AS (SELECT 0::BIGINT AS chunk_id, unnest(k) AS key, unnest(ty) AS type, seq AS doc_seq, start + unnest(range(0, len(k))) AS pos FROM k JOIN n USING (doc_id))
+n AS (SELECT doc_id, len(k)::BIGINT AS n, row_number() OVER (ORDER BY doc_id) AS i FROM k), {_sql_chunks(max_docs, max_words)},
+occ AS (SELECT chunk_id, unnest(k) AS key, unnest(ty) AS type, doc_seq, start + unnest(range(0, len(k))) AS pos FROM k JOIN r USING (doc_id))
 """
+
+
+DOC_OCC = _sql_doc_occ()
+SMALL = {"max_docs": 20, "max_words": 8000}  # chunks of 21 documents and 8,001 tokens at least, so that tables of any size have many
+SMALL_OCC = _sql_doc_occ(**SMALL)
 STATS = """
 s AS (SELECT chunk_id, key, arg_min(type, pos) AS type, count(*)::BIGINT AS use_count, count(DISTINCT doc_seq)::BIGINT AS doc_count,
   (count(DISTINCT doc_seq) + CASE WHEN min(doc_seq) > 0 THEN 1 ELSE 0 END)::BIGINT AS reference_doc_count FROM occ GROUP BY chunk_id, key)
@@ -118,15 +129,36 @@ def seek_table(spark, sf_dir):
     return index.seek_rows(index.occurrences(_docs(spark, sf_dir)))
 
 
-@query(f"""WITH {DOC_OCC}, {STATS}, {SEEK},
+LISTS = """
 d AS (SELECT chunk_id, key, list(delta ORDER BY pos) AS deltas FROM (SELECT chunk_id, key, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY chunk_id, key ORDER BY pos) AS delta FROM occ) GROUP BY 1, 2),
-l AS (SELECT chunk_id, key, list({{'index': index, 'location': location}} ORDER BY index) AS seek FROM sk GROUP BY 1, 2)
-SELECT key, use_count, array_to_string(deltas, ',') AS deltas, array_to_string(list_transform(seek, lambda x: x.index || ':' || x.location), ',') AS seek
-FROM s JOIN d USING (chunk_id, key) JOIN l USING (chunk_id, key)""")
-def posting_lists(spark, sf_dir):
-    p = index.postings(index.occurrences(_docs(spark, sf_dir)))
+l AS (SELECT chunk_id, key, list({'index': index, 'location': location} ORDER BY index) AS seek FROM sk GROUP BY 1, 2)
+SELECT chunk_id, key, use_count, doc_count, reference_doc_count, array_to_string(deltas, ',') AS deltas, array_to_string(list_transform(seek, lambda x: x.index || ':' || x.location), ',') AS seek
+FROM s JOIN d USING (chunk_id, key) JOIN l USING (chunk_id, key)"""
+
+
+def _as_text(p: DataFrame) -> DataFrame:
     seek = F.transform("seek", lambda x: F.concat(x["index"].cast("string"), F.lit(":"), x["location"].cast("string")))
-    return p.select("key", "use_count", F.array_join(F.col("deltas").cast("array<string>"), ",").alias("deltas"), F.array_join(seek, ",").alias("seek"))
+    return p.select("chunk_id", "key", "use_count", "doc_count", "reference_doc_count", F.array_join(F.col("deltas").cast("array<string>"), ",").alias("deltas"), F.array_join(seek, ",").alias("seek"))
+
+
+@query(f"WITH {DOC_OCC}, {STATS}, {SEEK}, {LISTS}")
+def posting_lists(spark, sf_dir):
+    return _as_text(index.postings(index.occurrences(_docs(spark, sf_dir))))
+
+
+@query(f"WITH {SMALL_OCC}, {STATS}, {SEEK}, {LISTS}")
+def posting_lists_chunks(spark, sf_dir):
+    return _as_text(index.postings(index.occurrences(_docs(spark, sf_dir), **SMALL)))
+
+
+@query(f"WITH {SMALL_OCC}, {STATS} SELECT * FROM s")
+def postings_stats_chunks(spark, sf_dir):
+    return index.posting_stats(index.occurrences(_docs(spark, sf_dir), **SMALL))
+
+
+@query(f"WITH {SMALL_OCC} SELECT chunk_id, key, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY chunk_id, key ORDER BY pos) AS delta FROM occ")
+def posting_deltas_chunks(spark, sf_dir):
+    return index.deltas(index.occurrences(_docs(spark, sf_dir), **SMALL)).select("chunk_id", "key", "pos", "delta")
 
 
 @query(f"""WITH {DOC_OCC}, d AS (SELECT pos - lag(pos, 1, 0) OVER (PARTITION BY chunk_id, key ORDER BY pos) AS x FROM occ)
@@ -151,11 +183,46 @@ def url_lookup(spark, sf_dir):
     return index.find_url(index.posting_stats(index.occurrences(_docs(spark, sf_dir))), "doc://7")
 
 
-@query("SELECT 0::BIGINT AS chunk_id, seq AS doc_seq, 'doc://' || doc_id AS url FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS seq FROM documents) WHERE seq = 7")
+DOC_7 = f"WITH {DOC_OCC} SELECT chunk_id, doc_seq, 'doc://' || doc_id AS url FROM r WHERE doc_seq = 7"
+
+
+@query(DOC_7)
 def doc_lookup(spark, sf_dir):
     return index.get_document(index.documents(_docs(spark, sf_dir)), 7)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    folder = new_folder(spark, "index")
+    chunks.write_index(_docs(spark, sf_dir), folder)
+    return chunks.read_index(spark, folder)
+
+
+POSTING = ["chunk_id", "key", "type", "use_count", "doc_count", "reference_doc_count"]
+
+
+@query(f"WITH {DOC_OCC}, {STATS} SELECT * FROM s WHERE key = 'the'")
+def stored_term_lookup(spark, sf_dir):
+    return index.find(_stored(spark, sf_dir)[0], "the").select(*POSTING)
+
+
+@query(f"WITH {DOC_OCC}, {STATS} SELECT * FROM s WHERE key = '##doc://7'")
+def stored_url_lookup(spark, sf_dir):
+    return index.find_url(_stored(spark, sf_dir)[0], "doc://7").select(*POSTING)
+
+
+@query(DOC_7)
+def stored_doc_lookup(spark, sf_dir):
+    return index.get_document(_stored(spark, sf_dir)[1], 7).select("chunk_id", "doc_seq", "url")
+
+
+@query("SELECT trim(url) AS url FROM pages WHERE trim(url) <> ''")
+def url_list(spark, sf_dir):
+    """The pages' urls, written as a text file of one url a line and read back."""
+    folder = new_folder(spark, "urls")
+    table(spark, sf_dir, "pages").select(F.col("url").alias("value")).filter("value IS NOT NULL").write.text(folder)
+    return pages.read_urls(spark, folder)
+
+
 @query(f"WITH {DOC_OCC}, {STATS} SELECT * FROM s ORDER BY use_count DESC, key LIMIT 50")
 def top_terms(spark, sf_dir):
     return index.top_terms(index.posting_stats(index.occurrences(_docs(spark, sf_dir))), 50)
@@ -175,15 +242,10 @@ def all_position_documents(spark, sf_dir):
     return index.document_of(occ, occ)
 
 
-@query(f"""WITH RECURSIVE w AS (SELECT doc_id, (len(regexp_extract_all(coalesce(text, ''), {WORD})) + 2)::BIGINT AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
-r AS (SELECT doc_id, n AS n_tokens, i, 0::BIGINT AS chunk_id, 0::BIGINT AS doc_seq, 0::BIGINT AS start FROM w WHERE i = 1
-  UNION ALL SELECT w.doc_id, w.n, w.i, CASE WHEN doc_seq + 1 > 20 AND start + n_tokens > 8000 THEN chunk_id + 1 ELSE chunk_id END,
-    CASE WHEN doc_seq + 1 > 20 AND start + n_tokens > 8000 THEN 0 ELSE doc_seq + 1 END, CASE WHEN doc_seq + 1 > 20 AND start + n_tokens > 8000 THEN 0 ELSE start + n_tokens END
-  FROM r JOIN w ON w.i = r.i + 1)
-SELECT doc_id, n_tokens, chunk_id, doc_seq, start FROM r""")
+@query(f"WITH {SMALL_OCC} SELECT doc_id, n_tokens, chunk_id, doc_seq, start FROM r")
 def chunk_assignment(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return index.assign_chunks(d.select("doc_id", index.token_count(d).alias("n_tokens")), max_docs=20, max_words=8000)
+    return index.assign_chunks(d.select("doc_id", index.token_count(d).alias("n_tokens")), **SMALL)
 
 
 @query(f"WITH {PAGE_TOKENS} SELECT * FROM tok")
@@ -202,17 +264,47 @@ def page_title_terms(spark, sf_dir):
     return index.tokens(_pages(spark, sf_dir)).filter("type = 't'").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {PAGE_TOKENS}, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
-c AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_seq, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n),
-occ AS (SELECT 0::BIGINT AS chunk_id, key, type, doc_seq, start + "offset" AS pos FROM tok JOIN c USING (doc_id)), {STATS} SELECT * FROM s""")
+def _sql_page_stats(max_docs: int, max_words: int) -> str:
+    return f"""WITH RECURSIVE {PAGE_TOKENS}, n AS (SELECT doc_id, count(*)::BIGINT AS n, row_number() OVER (ORDER BY doc_id) AS i FROM tok GROUP BY 1),
+{_sql_chunks(max_docs, max_words)}, occ AS (SELECT chunk_id, key, type, doc_seq, start + "offset" AS pos FROM tok JOIN r USING (doc_id)), {STATS} SELECT * FROM s"""
+
+
+@query(_sql_page_stats(index.MAX_DOCS, index.MAX_WORDS))
 def page_postings_stats(spark, sf_dir):
     return index.posting_stats(index.occurrences(_pages(spark, sf_dir)))
 
 
+@query(_sql_page_stats(**SMALL))
+def page_postings_stats_chunks(spark, sf_dir):
+    return index.posting_stats(index.occurrences(_pages(spark, sf_dir), **SMALL))
+
+
 # near-duplicate detection
 
+FOLD = """list_reduce(list_prepend(146959810393466560::UBIGINT, y), lambda x, b: xor(
+  (((((x >> 32) * 435) + (((x & 4294967295) * 435) >> 32) + ((x & 4294967295) << 8)) & 4294967295) << 32) | (((x & 4294967295) * 435) & 4294967295),
+  CASE WHEN b < 128 THEN b ELSE 18446744073709551360::UBIGINT + b END))"""
 
-@query()
+
+def _sql_signed(name: str = "documents", id_col: str = "doc_id", tag: str = "") -> str:
+    """g (doc_id, s, pos), f (s, h) and sig (doc_id, n_words, sig) of a table; the hash's prime is 2**40 + 435."""
+    ab = ", ".join(f"({j}, {a}::HUGEINT, {b}::HUGEINT)" for j, (a, b) in enumerate(zip(shingles.A, shingles.B, strict=True)))
+    return f"""
+w{tag} AS (SELECT {id_col} AS doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM {name}),
+g{tag} AS (SELECT doc_id, unnest(CASE WHEN len(w) < 8 THEN [array_to_string(w, '')] ELSE list_transform(range(1, len(w) - 6)::INT[], lambda i: array_to_string(w[i:i + 7], '')) END) AS s,
+  unnest(range(0, greatest(1, len(w) - 7)))::INT AS pos, len(w)::INT AS n_words FROM w{tag}),
+y{tag} AS (SELECT s, list_transform(range(1, strlen(s) + 1)::INT[], lambda k: ('0x' || substr(hex(encode(s)), 2 * k - 1, 2))::UBIGINT) AS y FROM (SELECT DISTINCT s FROM g{tag} WHERE s <> '')),
+f{tag} AS (SELECT s, CASE WHEN h = 18446744073709551615::UBIGINT THEN 0::UBIGINT ELSE h END AS h FROM (SELECT s, {FOLD} AS h FROM y{tag}) UNION ALL SELECT '', 0::UBIGINT),
+ab{tag}(j, a, b) AS (VALUES {ab}),
+v{tag} AS (SELECT s, j, (((h::HUGEINT * a + b) % 18446744073709551616::HUGEINT) % 255)::INT AS v FROM f{tag}, ab{tag}),
+m{tag} AS (SELECT doc_id, n_words, j, min(v) AS low, arg_max(v, pos) AS last FROM g{tag} JOIN v{tag} USING (s) GROUP BY ALL),
+sig{tag} AS (SELECT doc_id, n_words, list(CASE WHEN low < 128 THEN low ELSE last END ORDER BY j) AS sig FROM m{tag} GROUP BY ALL)"""
+
+
+AGREE = "list_sum(list_transform(range(1, 17)::INT[], lambda j: (x.sig[j] = y.sig[j])::INT)) >= 15"
+
+
+@query(f"WITH {_sql_signed()} SELECT doc_id, pos, h::VARCHAR AS hash FROM g JOIN f USING (s)")
 def shingle_hashes(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
     return w.select("doc_id", F.posexplode(shingles.shingles(F.col("w"))).alias("pos", "hash"))
@@ -222,35 +314,55 @@ def _signed(spark, sf_dir, name, id_col):
     return shingles.add_signatures(table(spark, sf_dir, name), id_col=id_col)
 
 
-@query()
+@query(f"WITH {_sql_signed()} SELECT doc_id, n_words, array_to_string(list_concat(sig, sig, sig, sig), ',') AS signature FROM sig")
 def signatures(spark, sf_dir):
     s = _signed(spark, sf_dir, "documents", "doc_id")
     return s.select(F.col("id").alias("doc_id"), "n_words", F.array_join(shingles.full_signature(F.col("sig")).cast("array<string>"), ",").alias("signature"))
 
 
-@query()
+@query(f"""WITH {_sql_signed()}, bb AS (SELECT doc_id, band, list_transform(sig[band * 8 + 1:band * 8 + 8], lambda x: x::UBIGINT) AS y FROM sig, (VALUES (0), (1)) t(band))
+SELECT doc_id, band::INT AS band, CASE WHEN h = 18446744073709551615::UBIGINT THEN '0' ELSE h::VARCHAR END AS band_hash FROM (SELECT doc_id, band, {FOLD} AS h FROM bb)""")
 def bands(spark, sf_dir):
     s = _signed(spark, sf_dir, "documents", "doc_id")
     return s.select(F.col("id").alias("doc_id"), F.posexplode(shingles.band_hashes(F.col("sig"))).alias("band", "band_hash"))
 
 
-@query()
+CLASSES = "c AS (SELECT sig, min(doc_id) AS class_id, count(*)::BIGINT AS size FROM sig WHERE n_words > 0 GROUP BY sig)"
+
+
+@query(f"WITH {_sql_signed()}, {CLASSES} SELECT x.class_id AS class_a, y.class_id AS class_b FROM c x JOIN c y ON x.class_id < y.class_id AND {AGREE}")
 def similar_pairs(spark, sf_dir):
-    return shingles.similar_within(_signed(spark, sf_dir, "documents", "doc_id"))
+    """Pairs of classes of equal signatures; similar_links tells each document's class."""
+    return shingles.similar_classes(_signed(spark, sf_dir, "documents", "doc_id"))
 
 
-@query()
+@query(f"""WITH {_sql_signed()}, {CLASSES}, near AS (SELECT x.sig, sum(y.size)::BIGINT AS n FROM c x JOIN c y ON {AGREE} GROUP BY x.sig)
+SELECT doc_id, CASE WHEN n_words > 0 THEN class_id ELSE doc_id END AS class_id, CASE WHEN n_words > 0 THEN n - 1 ELSE 0 END::BIGINT AS n_links FROM sig LEFT JOIN c USING (sig) LEFT JOIN near USING (sig)""")
+def similar_links(spark, sf_dir):
+    out = shingles.links(_signed(spark, sf_dir, "documents", "doc_id"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+HITS = f"{_sql_signed()}, {_sql_signed('benchmark', 'item_id', '_b')}, hit AS (SELECT DISTINCT x.doc_id FROM sig x JOIN (SELECT DISTINCT sig FROM sig_b) y ON {AGREE} WHERE x.n_words > 0)"
+
+
+@query(f"WITH {HITS} SELECT doc_id, hit.doc_id IS NOT NULL AS similar FROM documents LEFT JOIN hit USING (doc_id)")
 def is_similar_semi(spark, sf_dir):
     hit = shingles.is_similar(_signed(spark, sf_dir, "documents", "doc_id"), _signed(spark, sf_dir, "benchmark", "item_id"))
     return hit.select(F.col("id").alias("doc_id"), "similar")
 
 
-@query()
+@query(f"WITH {HITS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)")
 def novel_anti(spark, sf_dir):
     return shingles.novel(_signed(spark, sf_dir, "documents", "doc_id"), _signed(spark, sf_dir, "benchmark", "item_id")).select(F.col("id").alias("doc_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_sql_signed()}, first AS (SELECT sig, min(doc_id) AS id FROM sig GROUP BY sig),
+before AS (SELECT x.id, list(y.id) AS near FROM first x JOIN first y ON y.id < x.id AND {AGREE} GROUP BY x.id),
+line AS (SELECT id, coalesce(near, []) AS near, row_number() OVER (ORDER BY id) AS i FROM first LEFT JOIN before USING (id)),
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+  SELECT line.i, CASE WHEN list_has_any(near, kept) THEN kept ELSE list_append(kept, id) END FROM walk JOIN line ON line.i = walk.i + 1)
+SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1) UNION SELECT doc_id FROM sig WHERE n_words = 0""")
 def greedy_dedup(spark, sf_dir):
     return shingles.greedy_dedup(_signed(spark, sf_dir, "documents", "doc_id")).select(F.col("id").alias("doc_id"))
 
@@ -264,7 +376,46 @@ def standardize_words(spark, sf_dir):
     return stem.normalise_words(_words(spark, sf_dir)).select("word", "standard")
 
 
-@query()
+def _sql_kinds(x: str) -> str:
+    """v or c for each letter; a y is a vowel unless one stands before it. Each round settles one more y of a run."""
+    x = f"regexp_replace(regexp_replace({x}, '[^aeiouy]', 'c', 'g'), '[aeiou]', 'v', 'g')"
+    for _ in range(4):
+        x = f"regexp_replace(regexp_replace({x}, '(^|c)y', '\\1v', 'g'), 'vy', 'vc', 'g')"
+    return x
+
+
+def _sql_measure(x: str) -> str:
+    return f"CASE WHEN {x} = '' THEN 1 ELSE len(regexp_extract_all(regexp_replace({_sql_kinds(x)}, '^c*', ''), 'c+')) END"
+
+
+def _sql_strip(w: str, size: str, groups: dict[int, dict[str, str]], least: int, otherwise: str) -> str:
+    cases = []
+    for n, rules in groups.items():
+        names, ends = ", ".join(f"'{k}'" for k in rules), " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.items())
+        head = f"left({w}, length({w}) - {n})"
+        cases.append(f"WHEN {size} > {n} AND length({w}) >= {n} AND right({w}, {n}) IN ({names}) AND ({_sql_measure(head)}) >= {least} THEN {head} || CASE right({w}, {n}) {ends} END")
+    return f"CASE {' '.join(cases)} ELSE {otherwise} END"
+
+
+_cut = lambda w, n: f"left({w}, length({w}) - {n})"
+STEMS = f"""
+a AS (SELECT word, regexp_replace(lower(strip_accents(replace(word, 'ß', 'ss'))), '[^0-9a-z]', '', 'g') AS w FROM words),
+b AS (SELECT word, CASE WHEN length(w) < 3 OR w NOT LIKE '%s' OR (w LIKE '%ss' AND w NOT LIKE '%sses') THEN w WHEN w LIKE '%sses' OR w LIKE '%ies' THEN {_cut("w", 2)} ELSE {_cut("w", 1)} END AS w FROM a),
+c AS (SELECT word, w, {_sql_measure("w")} AS m, {_sql_kinds("w")} LIKE '%v%' AS vowel FROM b),
+d AS (SELECT word, m, w, CASE WHEN m > 0 AND w LIKE '%eed' OR NOT vowel THEN NULL WHEN w LIKE '%ed' THEN {_cut("w", 2)} WHEN w LIKE '%ing' THEN {_cut("w", 3)} END AS x FROM c),
+e AS (SELECT word, m, CASE WHEN x IS NULL THEN CASE WHEN m > 0 AND w LIKE '%eed' THEN {_cut("w", 1)} ELSE w END
+  WHEN x LIKE '%at' OR x LIKE '%bl' OR x LIKE '%iz' THEN x || 'e' WHEN length(x) >= 2 AND x[-1] = x[-2] AND {_sql_kinds("x")} LIKE '%vv' THEN {_cut("x", 1)}
+  WHEN m = 1 AND length(x) >= 3 AND {_sql_kinds("x")} LIKE '%cvc' AND x[-1] NOT IN ('w', 'x', 'y') THEN x || 'e' ELSE x END AS w FROM d),
+f AS (SELECT word, m, CASE WHEN w LIKE '%y' AND {_sql_kinds(_cut("w", 1))} LIKE '%v%' THEN {_cut("w", 1)} || 'i' ELSE w END AS w FROM e),
+g AS (SELECT word, m, CASE WHEN m > 0 AND length(w) >= 3 THEN {_sql_strip("w", "length(w)", stem.STEP_2, 1, f"CASE WHEN w LIKE '%eli' AND ({_sql_measure(_cut('w', 3))}) > 0 THEN {_cut('w', 2)} ELSE w END")} ELSE w END AS w FROM f),
+h AS (SELECT word, m, CASE WHEN m > 0 AND length(w) >= 3 THEN {_sql_strip("w", "length(w)", stem.STEP_3, 1, f"CASE WHEN w LIKE '%ful' AND ({_sql_measure(_cut('w', 3))}) > 0 THEN {_cut('w', 3)} ELSE w END")} ELSE w END AS w FROM g),
+i AS (SELECT word, m, length(w) AS n, CASE WHEN m > 1 AND length(w) > 5 AND w LIKE '%ement' THEN {_cut("w", 5)} ELSE w END AS w FROM h),
+j AS (SELECT word, m, CASE WHEN m > 1 THEN {_sql_strip("w", "n", stem.STEP_4, 2, "w")} ELSE w END AS w FROM i),
+k AS (SELECT word, m, CASE WHEN length(w) >= 3 AND w LIKE '%e' THEN {_cut("w", 1)} ELSE w END AS w FROM j)
+SELECT word, CASE WHEN m > 1 AND length(w) >= 3 AND w LIKE '%ll' THEN {_cut("w", 1)} ELSE w END AS stem FROM k"""
+
+
+@query(f"WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), {WORD})) AS word FROM documents), {STEMS}")
 def stem_words(spark, sf_dir):
     return stem.normalise_words(_words(spark, sf_dir)).select("word", "stem")
 
@@ -279,7 +430,15 @@ def unicode_nfd_round_trip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", unicode.normalized(unicode.normalized(F.col("text"), "NFD"), "NFC").alias("nfc"))
 
 
-@query()
+def _sql_decomposed(x: str) -> str:
+    """The letters of Latin-1 that the tables hold, as letter and mark."""
+    for pair, mark in (("AÀEÈIÌOÒUÙaàeèiìoòuù", 768), ("AÁEÉIÍOÓUÚYÝaáeéiíoóuúyý", 769), ("AÂEÊIÎOÔUÛaâeêiîoôuû", 770), ("AÃNÑOÕaãnñoõ", 771), ("AÄEËIÏOÖUÜaäeëiïoöuüyÿ", 776), ("AÅaå", 778), ("CÇcç", 807)):
+        for plain, letter in zip(pair[::2], pair[1::2], strict=True):
+            x = f"replace({x}, '{letter}', '{plain}' || chr({mark}))"
+    return x
+
+
+@query(f"SELECT doc_id, {_sql_decomposed('text')} AS nfkd, nfc_normalize(text) AS nfkc FROM documents")
 def unicode_nfkd(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", unicode.normalized(F.col("text"), "NFKD").alias("nfkd"), unicode.normalized(F.col("text"), "NFKC").alias("nfkc"))
 
@@ -294,12 +453,12 @@ def unicode_lower(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", unicode.simple_lower(F.col("text")).alias("low"))
 
 
-@query()
+@query("SELECT doc_id, replace(lower(nfc_normalize(text)), 'ß', 'ss') AS folded FROM documents")
 def unicode_casefold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", unicode.nfkc_casefold(F.col("text")).alias("folded"))
 
 
-@query()
+@query("SELECT doc_id, lower(strip_accents(replace(text, 'ß', 'ss'))) AS stripped FROM documents")
 def unicode_strip(spark, sf_dir):
     options = unicode.STABLE | unicode.DECOMPOSE | unicode.COMPAT | unicode.CASEFOLD | unicode.STRIPMARK
     return table(spark, sf_dir, "documents").select("doc_id", unicode.mapped(F.col("text"), options).alias("stripped"))
@@ -310,12 +469,32 @@ def _characters(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(chars).alias("ch")).filter("ch <> ''").distinct()
 
 
-@query()
+CATEGORIES = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Co".split()
+# Fixed value: the characters of Latin-1 whose East Asian width is ambiguous.
+AMBIGUOUS = "¡¤§¨ª\u00ad®°±²³´¶·¸¹º¼½¾¿ÆÐ×ØÞßàáæèéêìíðòó÷øùúüþ"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents),
+p AS (SELECT ch, CASE {' '.join(f"WHEN regexp_matches(ch, '^{chr(92)}p{{{k}}}$', 's') THEN '{k}'" for k in CATEGORIES)} ELSE 'Cn' END AS category, lower(ch) AS low, replace(upper(ch), chr(7838), 'ß') AS up FROM c WHERE ch <> '')
+SELECT ch, category, CASE WHEN category IN ('Mn', 'Me', 'Cc', 'Cf', 'Zl', 'Zp', 'Cs', 'Cn') AND ch <> chr(173) THEN 0 WHEN regexp_matches(ch, '[{chr(92)}p{{Han}}{chr(92)}p{{Hiragana}}{chr(92)}p{{Katakana}}{chr(92)}p{{Hangul}}]') THEN 2 ELSE 1 END::BIGINT AS width,
+  (strpos('{AMBIGUOUS}', ch) > 0)::BIGINT AS ambiguous, low = ch AND ch <> up AS is_lower, up = ch AND ch <> low AS is_upper, up AS upper, up AS title FROM p""")
 def unicode_properties(spark, sf_dir):
     c = F.col("ch")
     return _characters(spark, sf_dir).select("ch", unicode.category(c).alias("category"), unicode.display_width(c).alias("width"), unicode.ambiguous_width(c).alias("ambiguous"), unicode.is_lower(c).alias("is_lower"), unicode.is_upper(c).alias("is_upper"), unicode.simple_upper(c).alias("upper"), unicode.simple_title(c).alias("title"))
 
 
+@query()
+def unicode_records(spark, sf_dir):
+    """The property record of every character; a test compares it with a literal reading of the Unicode data."""
+    return _characters(spark, sf_dir).select("ch", unicode.properties(F.col("ch")).alias("p")).select("ch", "p.*")
+
+
+@query("""SELECT doc_id, (length_grapheme(text) - CASE WHEN text = '' THEN 0 ELSE 1 END)::BIGINT AS n_breaks FROM documents""")
+def grapheme_breaks(spark, sf_dir):
+    inner = F.size(F.filter(unicode.breaks(F.col("text")), lambda x: x)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), inner).alias("n_breaks"))
+
+
 @query("SELECT DISTINCT unnest(string_split(text, '')) AS ch, unicode(unnest(string_split(text, '')))::INT AS code FROM documents")
 def code_points(spark, sf_dir):
-    return _characters(spark, sf_dir).select("ch", F.ascii("ch").alias("code"))
+    return _characters(spark, sf_dir).select("ch", F.get(unicode.code_points(F.col("ch")), F.lit(0)).alias("code"))

@@ -70,6 +70,48 @@ def test_chunks_rotate_when_both_limits_are_passed(spark):
     assert [(r["chunk_id"], r["doc_seq"], r["start"]) for r in got] == want and chunk > 0
 
 
+def fold(lengths, max_docs, max_words):
+    chunk, docs, total, out = 0, 0, 0, []
+    for n in lengths:
+        out.append((chunk, docs, total))
+        docs, total = docs + 1, total + n
+        if docs > max_docs and total > max_words:
+            chunk, docs, total = chunk + 1, 0, 0
+    return out
+
+
+def test_chunks_equal_the_fold_at_all_limits(spark):
+    import random
+
+    r = random.Random(2)
+    for max_docs, max_words in ((0, 0), (1, 30), (5, 5), (20, 0), (3, 200), (400, 10)):
+        lengths = [r.choice([0, 0, 2, 2, 5, 40]) for _ in range(300)]
+        rows = list(zip(range(-50, 250), lengths))
+        r.shuffle(rows)
+        got = index.assign_chunks(spark.createDataFrame(rows, "doc_id long, n_tokens long"), max_docs, max_words).orderBy("doc_id").collect()
+        want = fold([n for _, n in sorted(rows)], max_docs, max_words)
+        assert [(x["chunk_id"], x["doc_seq"], x["start"]) for x in got] == want, (max_docs, max_words)
+
+
+def test_repeated_and_null_ids_are_documents_of_their_own(spark):
+    rows = [(1, "a b"), (1, "c"), (None, "z"), (2, "d d"), (2, "d d"), (2, "d d"), (None, "z"), (3, None)]
+    p = pages.parse_text(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("url", F.coalesce("url", F.lit("none")))
+    for limits in ({}, {"max_docs": 2, "max_words": 3}):
+        occ = index.occurrences(p, **limits).collect()
+        n = sum(len((t or "").split()) + 2 for _, t in rows)
+        assert len(occ) == n and len({(x["chunk_id"], x["pos"]) for x in occ}) == n
+        assert len({(x["chunk_id"], x["doc_seq"]) for x in occ}) == len(rows) == index.documents(p, **limits).count()
+    first = [x["key"] for x in sorted(occ, key=lambda x: (x["chunk_id"], x["pos"]))][:6]
+    assert first == ["z", "%", "##none"] * 2  # null before all
+
+
+def test_no_task_reads_all_texts(spark, sf):
+    docs = pages.parse_text(spark.read.parquet(f"{sf}/documents.parquet"))
+    plan = index.postings(index.occurrences(docs, max_docs=20, max_words=8000))._jdf.queryExecution().toString()
+    assert "Coalesce 1" not in plan and "SinglePartition" not in plan.split("== Physical Plan ==")[1].split("BroadcastExchange")[0]
+    assert plan.split("== Physical Plan ==")[1].count("Generate explode") + plan.split("== Physical Plan ==")[1].count("Generate posexplode") == 1
+
+
 def test_bits_and_bytes(spark):
     n = spark.createDataFrame([(x,) for x in (0, 1, 2, 3, 4, 7, 8, 127, 128, 2047, 2048)], "n long")
     got = n.select(index.bits_needed(F.col("n")), index.delta_bytes(F.col("n"))).collect()
@@ -86,6 +128,56 @@ def test_lookups_and_store(spark, tmp_path):
     assert index.find_url(posts, "u1").count() == 2 and index.find(posts, "zzz").count() == 0
 
 
+def test_an_interrupted_append_leaves_nothing(spark, tmp_path, monkeypatch):
+    import pytest
+
+    p, folder = two(spark), f"file://{tmp_path}/index"
+    assert chunks.write_index(p, folder) == 0
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:  # after the documents, before the postings
+        m.setattr(index, "postings", dies)
+        with pytest.raises(RuntimeError):
+            chunks.write_index(p, folder)
+    with monkeypatch.context() as m:  # before publishing
+        m.setattr(chunks, "_publish", dies)
+        with pytest.raises(RuntimeError):
+            chunks.write_index(p, folder)
+    posts, docs = chunks.read_index(spark, folder)
+    assert docs.count() == 2 and {r["chunk_id"] for r in posts.collect()} == {0}
+    assert chunks.write_index(p, folder) == 1 and chunks.read_index(spark, folder)[1].count() == 4
+
+
+def test_two_writers_do_not_share_a_chunk(spark, tmp_path, monkeypatch):
+    p, folder, publish = two(spark), f"file://{tmp_path}/index", chunks._publish
+
+    def late(spark_, staged, target):  # another writer takes the number first
+        monkeypatch.setattr(chunks, "_publish", publish)
+        assert chunks.write_index(p, folder) == 0
+        return publish(spark_, staged, target)
+
+    monkeypatch.setattr(chunks, "_publish", late)
+    assert chunks.write_index(p, folder) == 1
+    posts, docs = chunks.read_index(spark, folder)
+    assert sorted((r["chunk_id"], r["doc_seq"]) for r in docs.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert chunks.chunk_path(folder, 1, spark).endswith("first=1/table=postings/chunk=0")
+    assert chunks.write_index(p.limit(0), folder) == 2 and chunks.next_chunk(spark, folder) == 2
+
+
+def test_stored_lookups_filter_in_the_scan(spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    chunks.write_index(two(spark), folder)
+    plan = index.find(chunks.read_index(spark, folder)[0], "b")._jdf.queryExecution().toString()
+    assert "EqualTo(key,b)" in plan
+
+
+def test_url_lists(spark, tmp_path):
+    (tmp_path / "urls.txt").write_text("http://a/\n\n  http://b/x?y \n")
+    assert [r["url"] for r in pages.read_urls(spark, f"file://{tmp_path}/urls.txt").collect()] == ["http://a/", "http://b/x?y"]
+
+
 def test_document_of_position(spark):
     occ = index.occurrences(two(spark))
     got = {r["pos"]: r["doc_seq"] for r in index.document_of(occ, occ).collect()}

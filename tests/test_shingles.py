@@ -102,6 +102,20 @@ def test_pairs_semi_and_greedy(spark):
     assert sorted(r["id"] for r in S.greedy_dedup(df).collect()) == kept
 
 
+def test_links_and_classes(spark):
+    sigs = variants()
+    sigs += sigs[:9]
+    df = spark.createDataFrame([(k, 9, s) for k, s in enumerate(sigs)] + [(900, 0, sigs[0]), (901, 0, sigs[0])], "id long, n_words int, sig array<smallint>")
+    first = {}
+    for k, s in enumerate(sigs):
+        first.setdefault(tuple(s), k)
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in S.links(df).collect()}
+    want = {k: (first[tuple(s)], sum(near(s, t) for t in sigs) - 1) for k, s in enumerate(sigs)}
+    assert got == want | {900: (900, 0), 901: (901, 0)}
+    pairs = sorted((r["class_a"], r["class_b"]) for r in S.similar_classes(df).collect())
+    assert pairs == sorted({(min(a, b), max(a, b)) for s, a in first.items() for t, b in first.items() if a != b and near(s, t)})
+
+
 def test_empty_lists_stay(spark):
     sig = model([])[1]
     df = spark.createDataFrame([(0, 0, sig), (1, 0, sig), (2, 3, sig)], "id long, n_words int, sig array<smallint>")

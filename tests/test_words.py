@@ -64,3 +64,50 @@ def test_unicode_columns(spark):
     assert all(r["back"] == r["t"] and (r["t"] is None or r["p"] == [*map(ord, r["t"])]) for r in p)
     v = spark.createDataFrame([(b"a\xc3\xa9",), (b"\xc0\x80",), (b"\xed\xa0\x80",)], "b binary").select(unicode.valid_utf8(F.col("b").cast("string"))).collect()
     assert [r[0] for r in v] == [True, False, False]
+
+
+def test_property_records(spark):
+    chars = ["a", "É", "ß", "\u0301", "ﬁ", "½", "(", "中", "א", "\u00ad", "\n", "\u200d", "ǅ", "\u0378", "\u2028", "", None]
+    got = {r["c"]: r["p"] for r in spark.createDataFrame([(c,) for c in chars], "c string").select("c", unicode.properties(F.col("c")).alias("p")).collect()}
+    pick = lambda c, *names: tuple(got[c][n] for n in names)
+    assert got[""] is None and got[None] is None
+    assert pick("a", "category", "combining_class", "bidi_class", "uppercase", "width", "decomposition_type") == ("Ll", 0, "L", "A", 1, None)
+    assert pick("É", "lowercase", "decomposition_type", "decomposition", "casefold") == ("é", "canonical", "E\u0301", "é") and pick("ß", "uppercase", "casefold") == ("ß", "ss")
+    assert pick("\u0301", "category", "combining_class", "width") == ("Mn", 230, 0) and pick("ﬁ", "decomposition_type", "decomposition") == ("compat", "fi")
+    assert pick("½", "decomposition_type") == ("fraction",) and pick("(", "bidi_mirrored", "bidi_class") == (True, "ON") and pick("中", "width") == (2,) and pick("א", "bidi_class") == ("R",)
+    assert pick("\u00ad", "ignorable", "ambiguous_width", "control_boundary") == (True, True, True) and pick("\n", "control_boundary") == (True,) and pick("\u200d", "control_boundary") == (False,)
+    assert pick("ǅ", "lowercase", "uppercase", "titlecase") == ("ǆ", "Ǆ", "ǅ") and pick("\u0378", "category") == ("Cn",) and pick("\u2028", "category", "control_boundary") == ("Zl", True)
+
+
+def test_records_of_the_table_equal_the_unicode_data(spark, sf):
+    import unicodedata
+
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["unicode_records"](spark, sf).collect()
+    chars = {c for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for c in r["text"] or ""}
+    assert {r["ch"] for r in rows} == chars and len(rows) == len(chars)
+    for r in rows:
+        c = r["ch"]
+        assert (r["category"], r["combining_class"], r["bidi_class"], r["bidi_mirrored"]) == (unicodedata.category(c), unicodedata.combining(c), unicodedata.bidirectional(c), bool(unicodedata.mirrored(c)))
+        assert unicodedata.normalize("NFD", c) == (unicodedata.normalize("NFD", r["decomposition"]) if r["decomposition_type"] == "canonical" else c)
+        assert r["lowercase"] == (c.lower() if len(c.lower()) == 1 else c) and r["casefold"] == c.casefold()
+
+
+def test_breaks(spark):
+    texts = ["e\u0301a", "\r\n\n", "🇩🇪🇫🇷", "👩\u200d👧x", "각", "각", "", None, "क्षि"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unicode.breaks(F.col("t")).alias("b"), unicode.graphemes(F.col("t")).alias("g")).collect()
+    for r in rows:
+        if r["t"] is None:
+            assert r["b"] is None
+            continue
+        at, want = 0, []
+        for g in r["g"]:
+            want += [at > 0] * (at > 0) + [False] * (len(g) - 1)
+            at += len(g)
+        assert r["b"] == want
+    assert [r["b"] for r in rows][:4] == [[False, True], [False, True], [False, True, False], [False, False, True]]
+    pairs = [("a", "b", True), ("e", "\u0301", False), ("\r", "\n", False), ("\n", "a", True), ("🇩", "🇪", False), ("ᄀ", "ᅡ", False), ("a", "\u200d", False), ("", "a", None), (None, "a", None)]
+    got = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(unicode.break_between(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [p[2] for p in pairs]
+    assert unicode.versions()[:2] == ("2.10.0", "16.0.0")
