@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import SPACES
 from lexloom.llm import bpe, lines, minhash, mixing, quality
-from lexloom.session import materialize, prepare, table
+from lexloom.session import discard, materialize, prepare, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +76,12 @@ ORACLE_SQL = None  # the quality model has no SQL; tests compare each stage with
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs, spent = table(prepare(spark), sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, "pipeline-" + name.replace(" ", "-"))
+            if spent is not None:
+                discard(spent)
+            spent = docs
     return docs
