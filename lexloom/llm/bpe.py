@@ -230,6 +230,8 @@ class Tokenizer:
         return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise ValueError("an id that the vocabulary does not have")
         return _ranges(self.blob, self.starts[ids], self.lengths[ids]).tobytes()
 
 
@@ -275,12 +277,13 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
 
 
 def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """df with the bytes (binary) that the ids stand for; null ids give no bytes. Clashing names as in encode()."""
+    """df with the bytes (binary) that the ids stand for; a null array and null ids in it give no bytes. An id that the vocabulary
+    does not have, negative ones included, fails the job. Clashing names as in encode()."""
     path, pattern = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
 
     @F.arrow_udf("binary")
     def text(ids: pa.Array) -> pa.Array:
         t = tokenizer(path, pattern)
-        return pa.array([t.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in ids], pa.binary())
+        return pa.array([t.decode(x.values.drop_null().to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in ids], pa.binary())
 
     return df.withColumn(bytes_col, text(F.col(ids_col)))

@@ -2,8 +2,8 @@
 
 Messages form trees by parent. The chosen branch of each tree is the root-to-leaf path with the highest score. Paths are
 found by pointer doubling, self-joins of narrow id tables whose number is the logarithm of the depth; texts join at the
-end, once. The template is <s>[role]text</s> for each turn. Backslash, <, [ and, in roles, ] are escaped by a backslash
-inside roles and texts, so no text can hold a control string, and unescaping gives it back exactly.
+end, once. The template is <s>[role]text</s> for each turn. Backslash, <, [ and ] are escaped by a backslash inside roles
+and texts, so no text can hold a control string, and unescaping gives it back exactly.
 """
 
 from __future__ import annotations
@@ -87,14 +87,12 @@ def format_paths(messages: DataFrame, path: DataFrame, loss_role: str = "assista
     turns = path.join(m, F.col("conv").eqNullSafe(F.col("c")) & (F.col("msg") == F.col("m")))
     head = F.concat(F.lit("<s>["), escape("role"), F.lit("]"))
     turns = turns.withColumns({"head": head, "body": escape("text"), "loss": F.col("role") == loss_role})
-    piece = F.struct("turn", F.concat("head", "body", F.lit("</s>")).alias("piece"), F.length("head").alias("skip"), F.length("body").alias("size"), "loss")
-    g = turns.groupBy("conv", "root").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    start = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["piece"])).alias("at"),
-        F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["skip"]).alias("start"), (acc["at"] + x["skip"] + x["size"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    spans = F.aggregate("pieces", zero, start, lambda acc: acc["spans"])
+    turns = turns.withColumn("piece", F.concat("head", "body", F.lit("</s>")))
+    w = Window.partitionBy("conv", "root").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.sum(F.length("piece")).over(w) - F.length("piece") + F.length("head")
+    turns = turns.withColumn("span", F.struct(first.cast("int").alias("start"), (first + F.length("body")).cast("int").alias("end")))
+    g = turns.groupBy("conv", "root").agg(F.array_sort(F.collect_list(F.struct("turn", "piece", "loss", "span"))).alias("pieces"))
+    spans = F.transform(F.filter("pieces", lambda x: x["loss"]), lambda x: x["span"])
     return g.select("conv", "root", F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import SPACES
 from lexloom.session import materialize
 
-MIN_SITES, MIN_WORDS, LG_REGISTERS, MARKS = 5, 3, 10, 1 << 20
+MIN_SITES, MIN_WORDS, LG_REGISTERS, MARKS = 5, 3, 10, 1 << 18
 _LONG_ENOUGH = r"^[ \t-\r]*" + r"[^ \t-\r]+[ \t-\r]+" * (MIN_WORDS - 1) + r"[^ \t-\r]"
 NEAR = 5 * 1.04 / (1 << LG_REGISTERS) ** 0.5  # five standard errors of the estimate
 
@@ -52,8 +52,9 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     values at most, which is broadcast, tells the others apart.
     """
     hits = materialize(boilerplate_hits(line_rows(df, id_col=id_col, text_col=text_col, site_col=site_col), min_sites), "line-boilerplate")
-    first = hits.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("id", "th", "pos")).alias("first"))
-    # one row per boilerplate line against its occurrences: a hot line's rows are split by Spark's skew handling
+    first = materialize(hits.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("id", "th", "pos")).alias("first")), "line-first")
+    # one row per boilerplate line, of known size: below Spark's threshold the occurrences stay where they are, above it a hot
+    # line's are split by its skew handling
     gone = hits.join(first, F.col("key") == F.col("k")).filter(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("id").alias("gone id"), F.col("th").alias("gone th")).agg(F.collect_set("pos").alias("gone pos"))
     gone = materialize(gone, "line-removals")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import word_count
-from lexloom.session import materialize
+from lexloom.session import discard, materialize
 
 HASH_BITS, LEVEL_BITS = 60, 10
 
@@ -36,16 +36,21 @@ def source_ranks(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
 
 def targets(ranked: DataFrame, max_repeat: int) -> DataFrame:
     """weight * level for the level at which the targets add up to all words, where none is above max_repeat times its
-    source. Each round caps the sources above and shares their excess among the rest; one row of sums reaches the driver."""
-    cap, level, last = F.col("source_size") * max_repeat, 0.0, -1.0
-    while level != last:
-        last, over = level, F.col("weight") * level >= cap
-        total, capped, free = ranked.agg(
-            F.sum("source_size"), F.coalesce(F.sum(F.when(over, cap)), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0))
-        ).first()
-        if free:
-            level = max(level, ((total or 0) - capped) / free)
-    share = F.col("weight") * F.lit(level)
+    source. In the order of cap by weight, with the sums of caps and weights before each source, the level is that of the
+    first source whose share of what they leave is below its cap. Three numbers reach the driver."""
+    cap = F.col("source_size") * max_repeat
+    order = ["ratio", "none", "source"]
+    rows = ranked.withColumns({"cap": cap, "ratio": cap / F.col("weight"), "none": F.col("source").isNull()})
+    parts = materialize(rows.repartitionByRange(8, *order).withColumn("part", F.spark_partition_id()), "caps")
+    before = parts.groupBy("part").agg(F.sum("cap").alias("c"), F.sum("weight").alias("w"))  # 8 rows at most
+    over = Window.orderBy("part")
+    before = before.select("part", (F.sum("c").over(over) - F.col("c")).alias("c_before"), (F.sum("w").over(over) - F.col("w")).alias("w_before"))
+    total, weights = (x or 0 for x in parts.agg(F.sum("source_size"), F.sum("weight")).first())
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = parts.withColumns({"c_in": F.sum("cap").over(inside) - F.col("cap"), "w_in": F.sum("weight").over(inside) - F.col("weight")}).join(F.broadcast(before), "part")
+    level = (F.lit(total).cast("double") - F.col("c_in") - F.col("c_before")) / (F.lit(weights) - F.col("w_in") - F.col("w_before"))
+    level = sums.withColumn("level", level).filter(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", F.struct(*order))).first()[0]
+    share = F.col("weight") * F.lit(level or 0.0)
     return ranked.withColumn("target", F.when(share >= cap, cap.cast("double")).otherwise(share))
 
 
@@ -85,13 +90,14 @@ def thresholds(docs: DataFrame, goal: DataFrame, name: str = "mix") -> DataFrame
             .when(F.col("bucket").isNull(), F.lit(1 << HASH_BITS))  # all of them fit
             .when(alone, F.when(F.col("upto") - F.col("rest") < left, F.col("low") + 1).otherwise(F.col("low")))
         )
-        state = materialize(
+        old, state = state, materialize(
             state.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select(
                 "source", "source_size", "target", "passes", F.when(F.col("bucket").isNull(), F.col("rest")).otherwise(left).alias("rest"),
                 F.coalesce("bucket", "prefix").alias("prefix"), found.alias("threshold"),
             ),
             f"{name}-state",
         )
+        discard(old)
         if state.filter("threshold IS NULL").isEmpty():
             break
     return state

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -106,6 +107,23 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_planted_links(spark):
+    """The table's own vectors with planted neighbours on both sides of the threshold, against all cosines."""
+    r = np.random.default_rng(7)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([v["embedding"] for v in rows], np.float64)
+    unit, _ = embeddings.unit_rows(x[:600])
+    g = r.standard_normal(unit.shape)
+    g, _ = embeddings.unit_rows(g - (g * unit).sum(1, keepdims=True) * unit)
+    c = np.repeat([0.94, 0.949, 0.9505, 0.952, 0.97, 0.999], 100)[:, None]
+    x = np.concatenate([x, c * unit + (1 - c**2) ** 0.5 * g, unit[:50] * 3])
+    unit, _ = embeddings.unit_rows(x)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    got = {v["vec_id"]: v["n_links"] for v in embeddings.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert got == {k: int(n) for k, n in enumerate(linked.sum(1))} and linked.sum() > 700
+
+
 def test_filters_recall():
     r = np.random.default_rng(5)
     x = r.standard_normal((3000, 64))
@@ -440,6 +458,26 @@ def test_bpe(spark, docs, texts):
     assert bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_bpe_splits_as_the_pattern_does():
+    r = random.Random(11)
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    alphabet = [" ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "'", "’", "s", "t", "r", "e", "v", "l", "d", "m", "S", "é", "Ж", "中", "٣", "½", "²", "7", "\u0301", "_", "-", "!", "🙂", "\u0e33", "ǅ", "Ⅷ", "\ufeff", "\0"]
+    texts_ = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    pieces, counts = bpe.split_batch(texts_)
+    at = 0
+    for t, n in zip(texts_, counts.tolist(), strict=True):
+        assert pieces[at : at + n] == [m[0] for m in pattern.finditer(t)], repr(t)
+        at += n
+
+
+def test_bpe_decode_edges(spark):
+    df = spark.createDataFrame([(1, [15496, None, 11]), (2, None), (3, [])], "k int, ids array<int>")
+    assert {r["k"]: bytes(r["decoded"]) for r in bpe.decode(df).collect()} == {1: b"Hello,", 2: b"", 3: b""}
+    for bad in (-1, 50256, 10**9):
+        with pytest.raises(Exception, match="vocabulary"):
+            bpe.decode(spark.createDataFrame([(1, [bad])], "k int, ids array<int>")).collect()
+
+
 # lines
 
 
