@@ -107,6 +107,7 @@ def assign_chunks(lengths: DataFrame, max_docs: int = MAX_DOCS, max_words: int =
     """
     ties = [c for c in lengths.columns if c not in ("doc_id", "n_tokens")]
     rows = lengths.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long"), *ties)
+    rows = materialize(rows, "chunk-lengths")  # range partitions sample first, and texts are read once
     places = materialize(_prefix(rows, ["doc_id", *ties], "n_tokens"), "chunk-places")
     docs, words = places.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
     zero = F.lit(0).cast("long")

@@ -357,9 +357,9 @@ def novel_anti(spark, sf_dir):
     return shingles.novel(_signed(spark, sf_dir, "documents", "doc_id"), _signed(spark, sf_dir, "benchmark", "item_id")).select(F.col("id").alias("doc_id"))
 
 
-@query(f"""WITH RECURSIVE {_sql_signed()}, first AS (SELECT sig, min(doc_id) AS id FROM sig GROUP BY sig),
-before AS (SELECT x.id, list(y.id) AS near FROM first x JOIN first y ON y.id < x.id AND {AGREE} GROUP BY x.id),
-line AS (SELECT id, coalesce(near, []) AS near, row_number() OVER (ORDER BY id) AS i FROM first LEFT JOIN before USING (id)),
+@query(f"""WITH RECURSIVE {_sql_signed()}, first AS MATERIALIZED (SELECT sig, min(doc_id) AS id FROM sig GROUP BY sig),
+before AS MATERIALIZED (SELECT x.id, list(y.id) AS near FROM first x JOIN first y ON y.id < x.id AND {AGREE} GROUP BY x.id),
+line AS MATERIALIZED (SELECT id, coalesce(near, []) AS near, row_number() OVER (ORDER BY id) AS i FROM first LEFT JOIN before USING (id)),
 walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
   SELECT line.i, CASE WHEN list_has_any(near, kept) THEN kept ELSE list_append(kept, id) END FROM walk JOIN line ON line.i = walk.i + 1)
 SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1) UNION SELECT doc_id FROM sig WHERE n_words = 0""")
