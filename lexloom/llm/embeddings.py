@@ -5,9 +5,10 @@ block, so words**4 directions need 4 * words inner products. List decoding finds
 in: those that score at least a fixed share of the vector's best, LIST on average and without a limit. (One cap for all
 scores would leave vectors of unequal blocks without any.) Codes are independent, and as many as it takes for at most
 MISS of the pairs at the threshold to share no direction; finer codes miss more, so their number grows with that of the
-vectors. Vectors of one best direction form a cell; cells that share a listed direction are candidates. Cells go into blocks of about BLOCK vectors and pairs of blocks
-are verified as matrix products, so each pair of vectors is compared once, and what leaves a task is a count per vector
-and a spanning forest, never the pairs.
+vectors. Vectors of one best direction form a cell; cells that share a listed direction are candidates. How many cells list
+a direction is bounded by the code, since they are those of directions near it; a dense group of vectors lies in few cells.
+Cells go into blocks of about BLOCK vectors and pairs of blocks are verified as matrix products, so each pair of vectors is
+compared once, and what leaves a task is a count per vector and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
