@@ -11,14 +11,14 @@ by as many unseen words as the counts of rare words suggest. Over all these the
 Replicas train on documents dealt by a hash of their ids and texts, in an order fixed by that hash, and are averaged by
 their tokens. Their number depends on the corpus alone, so scores do not depend on partitions, files or the cluster.
 
-Counts cover all training documents. The FREQUENT commonest words go to the tasks as arrays of that bound; the others'
-counts reach the documents by a join on word hashes.
+Texts are split once, into batches of codes with a dictionary of word hashes for each batch; counting, training and scoring
+read those. Counts cover all training documents. The FREQUENT commonest words go to the tasks as arrays of that bound; the
+others' counts reach the documents by a join on word hashes.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import materialize
+from lexloom.session import discard, materialize
 
-FREQUENT, DIM, NOISE, ROUNDS, RATE = 1 << 17, 16, 1, 2, 0.15
+FREQUENT, DIM, NOISE, ROUNDS, RATE, STEPS = 1 << 17, 8, 1, 2, 0.2, 1000
 _CASE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -43,18 +43,12 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_CASE).split()
 
 
-class _Codes(dict):
-    """Word to its rank among the frequent words, or else to its negative key; forgets all beyond 250,000 words."""
-
-    def __init__(self, ranks: dict[int, int]):
-        self.ranks = ranks
+class _Local(dict):
+    """Word to its number in the batch, from 1 on; 0 is the end token."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
-            self.clear()
-        h = word_key(word)
-        self[word] = h = self.ranks.get(h, h)
-        return h
+        self[word] = n = len(self) + 1
+        return n
 
 
 class Tree:
@@ -73,22 +67,21 @@ class Tree:
         whole = np.log(shares.sum())
         self.bias = np.concatenate([log[0] - whole, log[1] - log[0][np.arange(self.counts[1]) // w], log[2] - log[1][np.arange(self.n) // w]]).astype(np.float32)
 
-    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each leaf and level: the node, and the first and the number of the nodes it competes with."""
+    def rivals(self, leaves: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each leaf its node at a level, and the first and the number of the nodes that this one competes with."""
         w = self.width
-        at = np.stack([leaves // (w * w), leaves // w, leaves], 1)
-        first = at // w * w
-        first[:, 0] = 0
-        most = np.minimum(np.array([self.counts[0], w, w]), np.array(self.counts) - first)
-        return at + self.offsets, first + self.offsets, most
+        at = leaves // w ** (2 - level)
+        first = at // w * w if level else np.zeros_like(at)
+        most = np.minimum(w, self.counts[level] - first) if level else np.full_like(at, self.counts[0])
+        return at + self.offsets[level], first + self.offsets[level], most
 
 
 class LogBilinear:
     """contexts (leaves x dim), nodes (nodes of all levels x dim), scales (2 x dim). The last number of a context is always
     one, so that of a node is its bias."""
 
-    def __init__(self, shares: np.ndarray, dim: int = DIM, seed: int = 1):
-        self.tree = Tree(shares)
+    def __init__(self, shares: np.ndarray, dim: int | None = None, seed: int = 1):
+        self.tree, dim = Tree(shares), dim or DIM
         r = np.random.default_rng(seed)
         self.contexts = r.normal(0, 0.3, (self.tree.n, dim)).astype(np.float32)
         self.nodes = np.zeros((len(self.tree.bias), dim), np.float32)
@@ -114,22 +107,21 @@ class LogBilinear:
         x[:, -1] = 1
         return x
 
-    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, r: np.random.Generator) -> None:
-        """One NCE step: at each level the node of the path against NOISE others of its parent, drawn evenly, all under the
+    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, level: int, r: np.random.Generator) -> None:
+        """One NCE step at one level: the node of each path against NOISE others of its parent, drawn evenly, all under the
         normaliser 1."""
-        a, b, size = self.contexts[one], self.contexts[two], len(target)
+        a, b, size = _rows(self.contexts, one), _rows(self.contexts, two), len(target)
         x = self.mixed(a, b)
-        path, first, most = self.tree.paths(target)
-        at = np.empty((size, 3, 1 + NOISE), np.int64)
-        at[:, :, 0] = path
-        at[:, :, 1:] = first[:, :, None] + (r.random((size, 3, NOISE), np.float32) * most[:, :, None]).astype(np.int64)
-        rows = at.reshape(size, -1)
-        nodes = self.nodes[rows]
-        logit = np.matmul(nodes, x[:, :, None])[:, :, 0]
-        logit -= np.repeat(np.log(NOISE / most).astype(np.float32), 1 + NOISE, axis=1)
+        own, first, most = self.tree.rivals(target, level)
+        rows = np.empty((size, 1 + NOISE), np.int64)
+        rows[:, 0] = own
+        rows[:, 1:] = first[:, None] + (r.random((size, NOISE), np.float32) * most[:, None]).astype(np.int64)
+        nodes = _rows(self.nodes, rows)
+        logit = np.einsum("ikj,ij->ik", nodes, x)
+        logit -= np.log(NOISE / most).astype(np.float32)[:, None]
         error = -1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        error.reshape(at.shape)[:, :, 0] += 1
-        back = np.matmul(error[:, None, :], nodes)[:, 0, :]
+        error[:, 0] += 1
+        back = np.einsum("ik,ikj->ij", error, nodes)
         back[:, -1] = 0
         self._update(1, *_rows_sum(rows.ravel(), (error[:, :, None] * x[:, None, :]).reshape(-1, x.shape[1])))
         self._update(0, *_rows_sum(np.concatenate([one, two]), np.concatenate([back * self.scales[0], back * self.scales[1]])))
@@ -138,24 +130,27 @@ class LogBilinear:
     def _update(self, k: int, rows: np.ndarray, g: np.ndarray) -> None:
         """AdaGrad on the rows that have a gradient."""
         w, s = self.weights()[k], self.squares[k]
-        now = s[rows] + g * g
+        now = _rows(s, rows)
+        now += g * g
         s[rows] = now
         np.sqrt(now, out=now)
         g *= RATE
         g /= now
-        w[rows] += g
+        g += _rows(w, rows)
+        w[rows] = g
 
     def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, r: np.random.Generator, batch: int) -> None:
+        """Each batch trains one level, in turn; the tokens are dealt to the batches at random."""
         order = r.permutation(len(target))
-        for at in range(0, len(order), batch):
-            k = order[at : at + batch]
-            self.step(one[k], two[k], target[k], r)
+        for k, at in enumerate(range(0, len(order), batch)):
+            at = order[at : at + batch]
+            self.step(one[at], two[at], target[at], k % 3, r)
 
     def log_probs(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms, exactly normalised at each level."""
         out = np.empty(len(target))
-        for at in range(0, len(target), 1 << 17):
-            k = slice(at, at + (1 << 17))
+        for at in range(0, len(target), 1 << 18):
+            k = slice(at, at + (1 << 18))
             out[k] = self._log_probs(one[k], two[k], target[k])
         return out
 
@@ -163,7 +158,8 @@ class LogBilinear:
         order = np.argsort(target, kind="stable")  # then the tokens of a parent stand together at every level
         t, x = target[order], self.mixed(self.contexts[one[order]], self.contexts[two[order]])
         lp, w = np.zeros(len(t)), self.tree.width
-        for level, step in enumerate((w**3, w * w, w)):
+        ones = np.ones(w, np.float32)
+        for level, step in enumerate((w**3, w * w, w)):  # the tokens of a node's parent
             first = np.flatnonzero(np.diff(t // step, prepend=-1))
             for i, j in zip(first.tolist(), [*first[1:].tolist(), len(t)]):
                 low = int(t[i]) // step * w
@@ -172,20 +168,25 @@ class LogBilinear:
                 for a in range(i, j, 1 << 14):
                     z = min(j, a + (1 << 14))
                     s = x[a:z] @ self.nodes[o : o + n].T
-                    own = s[np.arange(z - a), t[a:z] // (step // w) - low]
+                    own = s.ravel().take(np.arange(0, n * (z - a), n) + (t[a:z] // (step // w) - low))
                     np.exp(s, out=s)
-                    lp[a:z] += own - np.log(s.sum(1))
+                    lp[a:z] += own - np.log(s @ ones[:n])
         out = np.empty(len(t))
         out[order] = lp
         return out
 
 
+def _rows(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """x[at], much faster."""
+    return x.take(at, axis=0, mode="clip")
+
+
 def _rows_sum(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows and the sums of their values. Sorting row and place as one number keeps the order of summation."""
     both = np.sort(at.astype(np.int64) << 24 | np.arange(len(at)))
     s = both >> 24
     first = np.flatnonzero(np.diff(s, prepend=-1))
-    return s[first], np.add.reduceat(values[both & 0xFFFFFF], first, axis=0)
+    return s[first], np.add.reduceat(_rows(values, both & 0xFFFFFF), first, axis=0)
 
 
 class Vocabulary:
@@ -228,27 +229,27 @@ class Vocabulary:
 
     @property
     def batch(self) -> int:
-        return int(np.clip(self.tokens // self.replicas // 1000, 128, 2048))
+        return int(np.clip(self.tokens // self.replicas // STEPS, 128, 2048))
 
     @functools.cached_property
-    def codes(self) -> _Codes:
-        return _Codes({int(h): k for k, h in enumerate(self.keys)})
-
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the words of all texts, -1 at each end, and the texts' token counts."""
-        out, sizes = [], []
-        for t in texts:
-            w = tokens(t.as_py())
-            out += [np.fromiter(map(self.codes.__getitem__, w), np.int64, len(w)), np.array([-1])]
-            sizes.append(len(w) + 1)
-        return np.concatenate([np.empty(0, np.int64), *out]), np.array(sizes, np.int64)
-
-    def leaves(self, codes: np.ndarray) -> np.ndarray:
-        out = np.full(len(codes), self.end, np.int64)
-        known, rare = codes >= 0, codes < -1
-        out[known] = self.leaf_of[codes[known]]
-        out[rare] = self.bucket_leaf[self.bucket(codes[rare])]
-        return out
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent words' keys in order, and their ranks."""
+        order = np.argsort(self.keys)
+        return self.keys[order], order
+
+    def ranks(self, keys: np.ndarray) -> np.ndarray:
+        """The ranks of words by their keys, -1 for those that are not frequent."""
+        known, rank = self.places
+        if not len(known):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, rank[at], -1)
+
+    def leaves(self, keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """The leaves of the end token and of a batch's words."""
+        own = self.bucket_leaf[self.bucket(keys)]
+        own[ranks >= 0] = self.leaf_of[ranks[ranks >= 0]]
+        return np.r_[self.end, own]
 
     def contexts(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The leaves one and two before each token; before a text stand ends."""
@@ -267,30 +268,55 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u4").ravel().astype(np.int64)
 
 
-def count_words(df: DataFrame, text_col: str) -> DataFrame:
-    """key and c of every distinct word of all texts. Tasks add up what they read; about 200,000 words are held at a time."""
-    kinds = pa.schema([("key", pa.int64()), ("c", pa.int64())])
+TEXTS = 2000  # in a batch of codes at most
+CODED = "ids array<string>, trains array<boolean>, sizes array<int>, keys binary, codes binary"
+
 
-    def out(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(map(word_key, seen), pa.int64()), pa.array(seen.values(), pa.int64())], schema=kinds)
+def code(docs: DataFrame) -> DataFrame:
+    """One row for each batch of docs (id as string, text, trains): the texts' token counts, the keys of the batch's words,
+    and the codes of all tokens, one text after another with its end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                seen.update(tokens(t.as_py()))
-                if len(seen) > 200_000:
-                    yield out(seen)
-                    seen.clear()
-        yield out(seen)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch, local, codes, sizes = whole.slice(at, TEXTS), _Local(), [], []
+                for t in batch.column(1):
+                    w = tokens(t.as_py())
+                    codes += [np.fromiter(map(local.__getitem__, w), np.int32, len(w)), np.zeros(1, np.int32)]
+                    sizes.append(len(w) + 1)
+                keys = np.fromiter(map(word_key, local), np.int64, len(local))
+                row = [batch.column(0).to_pylist(), batch.column(2).to_pylist(), sizes, keys.tobytes(), pack(np.concatenate(codes))]
+                kinds = (pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["ids", "trains", "sizes", "keys", "codes"])
+
+    return docs.select("id", "text", "trains").mapInArrow(run, CODED)
+
+
+def _coded(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    """trains, sizes, keys, codes and further columns of each batch of codes."""
+    for b in batches:
+        c = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+        for k in range(b.num_rows):
+            trains, sizes = (c[n][k].values.to_numpy(zero_copy_only=False) for n in ("trains", "sizes"))
+            yield trains.astype(bool), sizes.astype(np.int64), np.frombuffer(c["keys"][k].as_py(), np.int64), unpack(c["codes"][k].as_py()), *(c[n][k].as_py() for n in more)
 
-    return df.select(text_col).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
+def count_words(coded: DataFrame) -> DataFrame:
+    """key and c of every distinct word of all texts that train."""
+    kinds = pa.schema([("key", pa.int64()), ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for trains, sizes, keys, codes in _coded(batches):
+            c = np.bincount(codes[np.repeat(trains, sizes)], minlength=len(keys) + 1)[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[c > 0]), pa.array(c[c > 0])], schema=kinds)
 
-def vocabulary(counts: DataFrame, documents: int, frequent: int = FREQUENT) -> Vocabulary:
+    return coded.select("trains", "sizes", "keys", "codes").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def vocabulary(counts: DataFrame, documents: int, frequent: int | None = None) -> Vocabulary:
     """The frequent words are those whose counts lie in the highest of fixed count ranges that hold at most `frequent`
     words together; histograms find them, so no task sorts the vocabulary."""
-    level = F.floor(F.log2("c") * 32)
+    level, frequent = F.floor(F.log2("c") * 32), frequent or FREQUENT
     one = lambda c: F.sum(F.when(F.col("c") == c, 1).otherwise(0))
     levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("t"), one(1).alias("once"), one(2).alias("twice")).collect()
     levels.sort(key=lambda r: -r["level"])  # 2048 rows at most
@@ -329,34 +355,46 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.nd
         yield now, k, unpack(b"".join(held))
 
 
-def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
-    """The average of replicas after the last round. rows: h (a hash that deals and orders them) and leaves.
+def train(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
+    """The average of replicas after the last round, over the texts of code() that train.
 
     Each round takes its share of the texts and starts from the average of the round before. Replicas send their weights in
     pieces, and pieces are summed in two steps on the executors, so the driver gets one model per round.
     """
     model = LogBilinear(vocab.shares)
-    many, batch = vocab.replicas, vocab.batch
-    shared = rows.sparkSession.sparkContext.broadcast(vocab)
+    many, batch, lots = vocab.replicas, vocab.batch, int(np.ceil(vocab.replicas**0.5))
+    shared = coded.sparkSession.sparkContext.broadcast(vocab)
     for k in range(rounds):
-        start = rows.sparkSession.sparkContext.broadcast(model.flat())
+        start = coded.sparkSession.sparkContext.broadcast(model.flat())
+
+        def deal(batches: Iterator[pa.RecordBatch], k=k) -> Iterator[pa.RecordBatch]:
+            """A hash of id and leaves deals the texts to rounds and replicas, and orders them."""
+            v = shared.value
+            for trains, sizes, keys, codes, ids in _coded(batches, "ids"):
+                raw = pack(v.leaves(keys, v.ranks(keys))[codes])
+                ends, rows = 3 * np.cumsum(sizes), []
+                for i in np.flatnonzero(trains):
+                    x = raw[ends[i] - 3 * sizes[i] : ends[i]]
+                    h = xxhash.xxh64_intdigest(x, xxhash.xxh32_intdigest(ids[i] or ""))
+                    if (h >> 40) % rounds == k:
+                        rows.append((h % many, h >> 1, x))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["replica", "h", "leaves"])
 
         def run(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
             v, now, m, seen = shared.value, None, None, 0
             for replica, chunk, leaves in _chunks(batches):
                 if replica != now:
                     if m is not None:
-                        yield _pieces(m.flat(), float(seen), now)
+                        yield _pieces(m.flat(), float(seen), now, lots)
                     now, m, seen = replica, LogBilinear(v.shares), 0
                     m.load(start.value)
                 m.train(*v.contexts(leaves), leaves, np.random.default_rng([k, replica, chunk]), batch)
                 seen += len(leaves)
             if m is not None:
-                yield _pieces(m.flat(), float(seen), now)
+                yield _pieces(m.flat(), float(seen), now, lots)
 
-        replica = F.pmod("h", F.lit(many))
-        mine = rows.filter(F.pmod(F.shiftright("h", 40), F.lit(rounds)) == k).select(replica.alias("replica"), "leaves", "h")
-        mine = mine.repartition(many, "replica").sortWithinPartitions("replica", "h", "leaves").select("replica", "leaves")
+        mine = coded.select("ids", "trains", "sizes", "keys", "codes").mapInArrow(deal, "replica int, h long, leaves binary")
+        mine = mine.repartitionById(many, F.col("replica")).sortWithinPartitions("replica", "h", "leaves").select("replica", "leaves")
         sums = mine.mapInArrow(run, _PIECE)
         for keys in (("piece", "lot"), ("piece",)):
             sums = sums.repartition(*keys).sortWithinPartitions("piece", "lot", "who").mapInArrow(functools.partial(_add, len(keys) == 2), _PIECE)
@@ -366,7 +404,7 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> LogBiline
     return model
 
 
-_PIECE, _PIECES, _LOTS = "piece int, lot int, who int, n double, v binary", 16, 32
+_PIECE, _PIECES = "piece int, lot int, who int, n double, v binary", 32
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -374,8 +412,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["piece", "lot", "who", "n", "v"])
 
 
-def _pieces(flat: np.ndarray, n: float, who: int) -> pa.RecordBatch:
-    return _batch([(p, who % _LOTS, who, n, x.tobytes()) for p, x in enumerate(np.array_split(flat, _PIECES))])
+def _pieces(flat: np.ndarray, n: float, who: int, lots: int) -> pa.RecordBatch:
+    return _batch([(p, who % lots, who, n, x.tobytes()) for p, x in enumerate(np.array_split(flat, _PIECES))])
 
 
 def _add(lots: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,70 +437,46 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trai
     Null and empty texts are one end token. Without a training row every word is unseen: base_score counts with N = V = 0,
     score is that of an untrained model. Rows that repeat an id are scored one by one. Other columns are not read.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.lit(True) if trains is None else F.coalesce(trains, F.lit(False))).alias("trains"))
-    learn = docs.filter("trains")
-    counts = materialize(count_words(learn, "text"), "lm-counts")
-    vocab = vocabulary(counts, learn.count())
-    shared = df.sparkSession.sparkContext.broadcast(vocab)
-    kinds = pa.schema([
-        ("id", pa.string()), ("trains", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("inside", pa.float64()),
-        ("rare", pa.list_(pa.int64())), ("leaves", pa.binary()),
-    ])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        base = np.r_[np.log10(v.counts + 0.1), np.log10(v.documents + 0.1)]  # the last: ends, of code -1
-        inside, mass = np.r_[v.inside_of, 0.0], np.log10(v.mass)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                codes, sizes = v.read(part.column(1))
-                if not len(sizes):
-                    continue
-                first = np.cumsum(sizes) - sizes
-                common = codes >= -1
-                known = (codes >= 0) | (codes == -1) & (v.documents > 0)
-                rare, frequent = codes[~common], codes[common]
-                sums = [np.zeros(len(codes)) for _ in range(2)]
-                sums[0][common], sums[1][common] = base[frequent], inside[frequent]
-                sums[1][~common] = -mass[v.bucket(rare)]
-                ends = np.add.reduceat(~common, first, dtype=np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ends)].astype(np.int32)), pa.array(rare))
-                raw = pack(v.leaves(codes))
-                leaves = [raw[3 * i : 3 * (i + n)] for i, n in zip(first.tolist(), sizes.tolist(), strict=True)]
-                sums = [pa.array(np.add.reduceat(x, first)) for x in sums]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes), pa.array(np.add.reduceat(known, first, dtype=np.int64)), *sums, lists, pa.array(leaves, pa.binary())], schema=kinds)
-
-    rows = docs.select(F.col("id").cast("string"), "text", "trains").mapInArrow(read, "id string, trains boolean, n_tokens long, n_known long, base double, inside double, rare array<long>, leaves binary")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    model = train(rows.filter("trains").select(F.xxhash64("id", "leaves").alias("h"), "leaves"), vocab, rounds)
-    weights = df.sparkSession.sparkContext.broadcast(model.flat())
+    kind = df.select(F.col(id_col)).schema[0].dataType
+    docs = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), (F.lit(True) if trains is None else F.coalesce(trains, F.lit(False))).alias("trains"))
+    coded = materialize(code(docs).withColumn("batch", F.monotonically_increasing_id()), "lm-codes")
+    counts = materialize(count_words(coded), "lm-counts")
+    learned = coded.agg(F.sum(F.size(F.filter("trains", lambda x: x)))).first()[0] or 0
+    vocab = vocabulary(counts, learned)
+    model = train(coded, vocab, rounds)
+    shared, weights = (df.sparkSession.sparkContext.broadcast(x) for x in (vocab, model.flat()))
+    kinds = pa.schema([("batch", pa.int64()), ("at", pa.int32()), ("id", pa.string()), *((x, pa.int64()) for x in ("n_tokens", "n_known")), ("base", pa.float64()), ("lm", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         m = LogBilinear(v.shares)
         m.load(weights.value)
-        for b in batches:
-            raw, lm = b.column(1), []
-            for at in range(0, b.num_rows, 500):
-                texts = [x.as_py() for x in raw.slice(at, 500)]
-                sizes = np.array([len(x) // 3 for x in texts], np.int64)
-                leaves = unpack(b"".join(texts))
-                p = m.log_probs(*v.contexts(leaves), leaves)
-                lm.append(np.add.reduceat(p, np.cumsum(sizes) - sizes) / np.log(10))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.empty(0), *lm]))], names=["scored", "lm"])
-
-    scored = rows.select("row", "leaves").mapInArrow(run, "scored long, lm double")
-    seen = rows.select("row", F.explode("rare").alias("key")).groupBy("key", "row").agg(F.count(F.lit(1)).alias("tf")).join(counts, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        base, mass = np.r_[np.log10(v.counts + 0.1), 0.0], np.log10(v.mass)
+        within = np.r_[v.inside_of, 0.0]
+        for _, sizes, keys, codes, ids, number in _coded(batches, "ids", "batch"):
+            rank = v.ranks(keys)  # of each word of the batch; what follows holds the end token's figure first
+            leaf, known = v.leaves(keys, rank), np.r_[v.documents > 0, rank >= 0]
+            log_base = np.r_[np.log10(v.documents + 0.1), base[rank]]
+            inside = np.r_[0.0, np.where(rank >= 0, within[rank], -mass[v.bucket(keys)])]
+            first, rare, leaves = np.cumsum(sizes) - sizes, np.r_[False, rank < 0][codes], leaf[codes]
+            lm = m.log_probs(*v.contexts(leaves), leaves) / np.log(10) + inside[codes]
+            ends = np.cumsum(np.add.reduceat(rare, first, dtype=np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(keys[codes[rare] - 1]))
+            sums = [np.add.reduceat(known[codes], first, dtype=np.int64), np.add.reduceat(log_base[codes], first), np.add.reduceat(lm, first)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), number)), pa.array(np.arange(len(sizes), dtype=np.int32)), pa.array(ids, pa.string()), pa.array(sizes), *map(pa.array, sums), lists], schema=kinds)
+
+    rows = coded.mapInArrow(run, "batch long, at int, id string, n_tokens long, n_known long, base double, lm double, rare array<long>")
+    rows = materialize(rows, "lm-rows")
+    discard(coded)
+    seen = rows.select("batch", "at", F.explode("rare").alias("key")).groupBy("key", "batch", "at").agg(F.count(F.lit(1)).alias("tf")).join(counts, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     inside = F.when(F.col("c") > 0, F.log10(F.col("c") - F.lit(vocab.discount))).otherwise(F.lit(vocab.unseen_log))
-    extra = seen.groupBy(F.col("row").alias("scored")).agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("x_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 0.1)).alias("x_base"), F.sum(F.col("tf") * inside).alias("x_lm"), F.lit(0.0).alias("lm")
+    extra = seen.groupBy("batch", "at").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("x_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 0.1)).alias("x_base"), F.sum(F.col("tf") * inside).alias("x_lm")
     )
-    scored = scored.select("scored", F.lit(0).cast("long").alias("x_known"), F.lit(0.0).alias("x_base"), F.lit(0.0).alias("x_lm"), "lm")
-    sums = scored.unionByName(extra).groupBy("scored").agg(*[F.sum(x).alias(x) for x in ("x_known", "x_base", "x_lm", "lm")])
-    out = rows.select("row", "id", "n_tokens", "n_known", "base", "inside").join(sums, F.col("row") == F.col("scored"))
+    out = rows.drop("rare").join(extra, ["batch", "at"], "left")
     each = float(np.log10(vocab.tokens + 0.1 * (vocab.distinct + 1)))
+    add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select(
-        F.col("id").cast(docs.schema["id"].dataType).alias("id"), "n_tokens", (F.col("n_known") + F.col("x_known")).alias("n_known"), F.lit(int(vocab.tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("x_base") - F.col("n_tokens") * F.lit(each)).alias("base_score"), (F.col("inside") + F.col("x_lm") + F.col("lm")).alias("score"),
+        F.col("id").cast(kind).alias("id"), "n_tokens", add("n_known", "x_known").alias("n_known"), F.lit(int(vocab.tokens)).cast("long").alias("train_tokens"),
+        (add("base", "x_base") - F.col("n_tokens") * F.lit(each)).alias("base_score"), add("lm", "x_lm").alias("score"),
     )

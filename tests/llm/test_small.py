@@ -547,8 +547,10 @@ def test_lm_is_normalised_and_learns():
 def test_lm_tree_paths():
     for n in (1, 2, 9, 40, 400):
         t = lm.Tree(np.random.default_rng(n).random(n) + 0.1)
-        at, first, most = t.paths(np.arange(n))
-        assert (at >= first).all() and (at < first + most).all() and len(t.bias) == sum(t.counts) and at[:, 2].max() == len(t.bias) - 1
+        for level in range(3):
+            at, first, most = t.rivals(np.arange(n), level)
+            assert (at >= first).all() and (at < first + most).all() and at.min() == t.offsets[level] and at.max() == t.offsets[level] + t.counts[level] - 1
+        assert len(t.bias) == sum(t.counts)
     assert (lm.unpack(lm.pack(np.array([0, 5, 70_000]))) == [0, 5, 70_000]).all()
 
 
