@@ -228,17 +228,20 @@ def top_terms(spark, sf_dir):
     return index.top_terms(index.posting_stats(index.occurrences(_docs(spark, sf_dir))), 50)
 
 
-@query(f"""WITH {DOC_OCC}, e AS (SELECT pos AS e_pos, doc_seq FROM occ WHERE key = '%' AND type = 'e')
-SELECT o.chunk_id, o.pos, e.doc_seq FROM (SELECT chunk_id, pos FROM occ WHERE type <> 'b') o ASOF LEFT JOIN e ON e.e_pos >= o.pos""")
+POSITIONS = """e AS (SELECT chunk_id, pos AS e_pos, doc_seq FROM occ WHERE key = '%' AND type = 'e')
+SELECT o.chunk_id, o.pos, e.doc_seq FROM (SELECT chunk_id, pos FROM occ) o ASOF LEFT JOIN e ON e.chunk_id = o.chunk_id AND e.e_pos >= o.pos"""
+
+
+@query(f"WITH {DOC_OCC}, {POSITIONS}")
 def position_documents(spark, sf_dir):
+    """The document of every position."""
     occ = index.occurrences(_docs(spark, sf_dir))
-    return index.document_of(occ, occ.filter("type <> 'b'"))
+    return index.document_of(occ, occ)
 
 
-@query()
-def all_position_documents(spark, sf_dir):
-    """The document of every position; position_documents asks for those of end and own-url tokens alone, as its SQL does."""
-    occ = index.occurrences(_docs(spark, sf_dir))
+@query(f"WITH {SMALL_OCC}, {POSITIONS}")
+def position_documents_chunks(spark, sf_dir):
+    occ = index.occurrences(_docs(spark, sf_dir), **SMALL)
     return index.document_of(occ, occ)
 
 

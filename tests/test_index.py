@@ -187,7 +187,7 @@ def test_document_of_position(spark):
 def test_every_position_of_the_table_has_its_document(spark, sf):
     import __spark_entry__ as entry
 
-    got = {(r["chunk_id"], r["pos"]): r["doc_seq"] for r in entry.queries()["all_position_documents"](spark, sf).collect()}
+    got = {(r["chunk_id"], r["pos"]): r["doc_seq"] for r in entry.queries()["position_documents"](spark, sf).collect()}
     ends = []
     for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
         ends.append((ends[-1] + 2 if ends else 0) + len((r["text"] or "").encode().split()))
