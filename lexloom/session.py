@@ -30,9 +30,9 @@ def local_session(cpus: int = 8, **conf) -> SparkSession:
     return prepare(spark)
 
 
-ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 WORKER_MEMORY = {  # large arrays go back to the system when they are freed; workers live on between stages
-    "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system",
 }
 
 
