@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from lexloom.session import discard, materialize
 
 FREQUENT, DIM, NOISE, ROUNDS, RATE, STEPS = 1 << 17, 8, 1, 2, 0.2, 1000
+LEVELS = ((0, 2), (1, 2))  # those that a batch trains, by turns
 _CASE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -107,20 +108,22 @@ class LogBilinear:
         x[:, -1] = 1
         return x
 
-    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, level: int, r: np.random.Generator) -> None:
-        """One NCE step at one level: the node of each path against NOISE others of its parent, drawn evenly, all under the
-        normaliser 1."""
+    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, levels: tuple[int, ...], r: np.random.Generator) -> None:
+        """One NCE step: at each of the levels the node of the path against NOISE others of its parent, drawn evenly, all under
+        the normaliser 1."""
         a, b, size = _rows(self.contexts, one), _rows(self.contexts, two), len(target)
         x = self.mixed(a, b)
-        own, first, most = self.tree.rivals(target, level)
-        rows = np.empty((size, 1 + NOISE), np.int64)
-        rows[:, 0] = own
-        rows[:, 1:] = first[:, None] + (r.random((size, NOISE), np.float32) * most[:, None]).astype(np.int64)
-        nodes = _rows(self.nodes, rows)
-        logit = np.einsum("ikj,ij->ik", nodes, x)
-        logit -= np.log(NOISE / most).astype(np.float32)[:, None]
+        rows, offset = np.empty((size, len(levels), 1 + NOISE), np.int64), np.empty((size, len(levels), 1), np.float32)
+        for k, level in enumerate(levels):
+            own, first, most = self.tree.rivals(target, level)
+            rows[:, k, 0] = own
+            rows[:, k, 1:] = first[:, None] + (r.random((size, NOISE), np.float32) * most[:, None]).astype(np.int64)
+            offset[:, k, 0] = np.log(NOISE / most)
+        nodes = _rows(self.nodes, rows.reshape(size, -1))
+        logit = np.einsum("ikj,ij->ik", nodes, x).reshape(rows.shape) - offset
         error = -1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        error[:, 0] += 1
+        error[:, :, 0] += 1
+        error = error.reshape(size, -1)
         back = np.einsum("ik,ikj->ij", error, nodes)
         back[:, -1] = 0
         self._update(1, *_rows_sum(rows.ravel(), (error[:, :, None] * x[:, None, :]).reshape(-1, x.shape[1])))
@@ -140,11 +143,11 @@ class LogBilinear:
         w[rows] = g
 
     def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, r: np.random.Generator, batch: int) -> None:
-        """Each batch trains one level, in turn; the tokens are dealt to the batches at random."""
+        """The tokens are dealt to the batches at random. Every token trains its leaf; the two levels above take turns."""
         order = r.permutation(len(target))
         for k, at in enumerate(range(0, len(order), batch)):
             at = order[at : at + batch]
-            self.step(one[at], two[at], target[at], k % 3, r)
+            self.step(one[at], two[at], target[at], LEVELS[k % len(LEVELS)], r)
 
     def log_probs(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms, exactly normalised at each level."""
@@ -155,8 +158,9 @@ class LogBilinear:
         return out
 
     def _log_probs(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-        order = np.argsort(target, kind="stable")  # then the tokens of a parent stand together at every level
-        t, x = target[order], self.mixed(self.contexts[one[order]], self.contexts[two[order]])
+        both = np.sort(target.astype(np.int64) << 18 | np.arange(len(target)))  # then the tokens of a parent stand together at every level
+        order, t = both & ((1 << 18) - 1), both >> 18
+        x = self.mixed(self.contexts[one[order]], self.contexts[two[order]])
         lp, w = np.zeros(len(t)), self.tree.width
         ones = np.ones(w, np.float32)
         for level, step in enumerate((w**3, w * w, w)):  # the tokens of a node's parent
@@ -268,7 +272,7 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u4").ravel().astype(np.int64)
 
 
-TEXTS = 2000  # in a batch of codes at most
+TEXTS = 1000  # in a batch of codes at most
 CODED = "ids array<string>, trains array<boolean>, sizes array<int>, keys binary, codes binary"
 
 
