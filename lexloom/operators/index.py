@@ -1,7 +1,8 @@
 """Positional inverted index: typed tokens, chunks, positions, posting lists and seek tables.
 
-Tokens explode inside the scan; only (chunk, key, position) rows are shuffled. Positions need prefix sums over documents,
-one narrow row each, and never over tokens. Sums and chunk borders come from range partitions and the totals of those
+Tokens explode behind the last shuffle: pages move to their chunks' tasks, and a chunk's lists are made from arrays of all its
+tokens (wholes.py). Only where a chunk is too large for that, and for token tables of other origin, are (chunk, key, position)
+rows shuffled. Positions need prefix sums over documents, one narrow row each, and never over tokens. Sums and chunk borders come from range partitions and the totals of those
 before them, so no task sees all documents.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import ascii_lower
+from lexloom.operators import wholes
 from lexloom.session import materialize
 
 MAX_DOCS, MAX_WORDS = 5000, 800_000
@@ -134,24 +136,44 @@ def placed(parsed: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WOR
     of places is above Spark's broadcast threshold."""
     keyed = parsed.withColumn("content", F.xxhash64("url", "body", "head", "title", "links"))
     places = materialize(assign_chunks(keyed.select("doc_id", "content", token_count(parsed).alias("n_tokens")), max_docs, max_words), "places")
+    most = places.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] or 0
     places = places.select(F.col("doc_id").alias("place id"), F.col("content").alias("place content"), "chunk_id", "doc_seq", "start")
     same = F.col("doc_id").eqNullSafe(F.col("place id")) & (F.col("content") == F.col("place content"))
     twice = materialize(places.groupBy("place id", "place content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "places-repeated")
     if not twice.isEmpty():  # one of several equal rows stands for all their places
         once = keyed.join(twice, same, "left_semi").dropDuplicates(["doc_id", "content"])
         keyed = keyed.join(twice, same, "left_anti").unionByName(once)
-    return keyed.join(places, same).drop("place id", "place content", "content")
+    out = keyed.join(places, same).drop("place id", "place content", "content")
+    out.most = most  # tokens of the largest chunk
+    return out
 
 
 def occurrences(parsed: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> DataFrame:
     """chunk_id, key, type, doc_seq, pos of every token."""
     rows = placed(parsed, max_docs, max_words)
+    out = _occurrences(rows)
+    out.placed = rows
+    return out
+
+
+def _occurrences(rows: DataFrame) -> DataFrame:
     rows = rows.select("chunk_id", "doc_seq", "start", F.posexplode(token_list(rows)).alias("offset", "t"))
     return rows.select("chunk_id", "t.key", "t.type", "doc_seq", (F.col("start") + F.col("offset")).alias("pos"))
 
 
+def _whole(occ: DataFrame) -> DataFrame | None:
+    """The tokens of occurrences() with those of a chunk together, in their order. None if a chunk is too large, or for tokens
+    that are not occurrences()'s own table."""
+    rows = getattr(occ, "placed", None)
+    if rows is None or rows.most > wholes.WHOLE:
+        return None
+    return _occurrences(rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "doc_seq"))
+
+
 def deltas(occ: DataFrame) -> DataFrame:
     """occ with delta: the distance to the key's last position in the chunk, from 0."""
+    if (tokens_ := _whole(occ)) is not None:
+        return wholes.deltas(tokens_, *occ.columns)
     w = Window.partitionBy("chunk_id", "key").orderBy("pos")
     return occ.withColumn("delta", F.col("pos") - F.lag("pos", 1, 0).over(w))
 
@@ -217,12 +239,17 @@ def _with_seek(occ: DataFrame) -> DataFrame:
 def seek_rows(occ: DataFrame) -> DataFrame:
     """chunk_id, key, index, location of the seek tables: at most one row per post, whenever its location (pos + 1) reaches
     the next power of two."""
+    if (tokens_ := _whole(occ)) is not None:
+        return wholes.seek_rows(tokens_)
     return _with_seek(occ.select("chunk_id", "key", "pos")).filter("full > before").select("chunk_id", "key", "index", (F.col("pos") + 1).alias("location"))
 
 
 def posting_stats(occ: DataFrame) -> DataFrame:
     """chunk_id, key, type (of the first occurrence), use_count, doc_count, reference_doc_count (one more unless the key is
-    in the chunk's first document). Partial aggregation runs per key and document, so hot keys shrink before the shuffle."""
+    in the chunk's first document). Without whole chunks, partial aggregation runs per key and document, so hot keys shrink
+    before the shuffle."""
+    if (tokens_ := _whole(occ)) is not None:
+        return wholes.posting_stats(tokens_)
     per_doc = occ.groupBy("chunk_id", "key", "doc_seq").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "type")).alias("first"))
     stats = per_doc.groupBy("chunk_id", "key").agg(F.sum("n").alias("use_count"), F.count(F.lit(1)).alias("doc_count"), F.min("doc_seq").alias("least"), F.min("first").alias("first"))
     return stats.select("chunk_id", "key", F.col("first.type").alias("type"), "use_count", "doc_count", (F.col("doc_count") + (F.col("least") > 0).cast("long")).alias("reference_doc_count"))
@@ -230,7 +257,9 @@ def posting_stats(occ: DataFrame) -> DataFrame:
 
 def postings(occ: DataFrame) -> DataFrame:
     """One row per chunk and key: type, use_count, doc_count, reference_doc_count, deltas, seek. A list is at most as long
-    as its chunk, whose size is bounded. Tokens are read and shuffled once: the windows' partitioning serves the aggregation."""
+    as its chunk. Without whole chunks tokens are shuffled once: the windows' partitioning serves the aggregation."""
+    if (tokens_ := _whole(occ)) is not None:
+        return wholes.postings(tokens_)
     w = Window.partitionBy("chunk_id", "key").orderBy("pos")
     rows = _with_seek(deltas(occ)).withColumn("new", (~F.col("doc_seq").eqNullSafe(F.lag("doc_seq").over(w))).cast("long"))
     seek = F.when(F.col("full") > F.col("before"), F.struct("index", (F.col("pos") + 1).alias("location")))
@@ -269,7 +298,11 @@ def get_document(documents_: DataFrame, doc_seq: int, chunk_id: int | None = Non
 
 def document_of(occ: DataFrame, pos: DataFrame) -> DataFrame:
     """pos (chunk_id, pos) with doc_seq: the document whose end token is the first at or after the position; own-url
-    tokens stand behind that end. Positions and ends share one sort by chunk instead of a range join."""
+    tokens stand behind that end. Positions and ends share one sort by chunk instead of a range join; occ's own positions are
+    in order already where chunks are whole."""
+    if pos is occ and (tokens_ := _whole(occ)) is not None:
+        end = (F.col("key") == END_OF_DOCUMENT) & (F.col("type") == TYPES["end"])
+        return wholes.document_of_all(tokens_.select("chunk_id", "pos", "doc_seq", end.alias("end")))
     ends = occ.filter(F.col("key") == END_OF_DOCUMENT).filter(F.col("type") == TYPES["end"]).select("chunk_id", "pos", F.col("doc_seq").alias("end_seq"), F.lit(False).alias("asked"))
     both = ends.unionByName(pos.select("chunk_id", "pos", F.lit(None).cast("long").alias("end_seq"), F.lit(True).alias("asked")))
     w = Window.partitionBy("chunk_id").orderBy(F.desc("pos"), "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
