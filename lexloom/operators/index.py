@@ -161,13 +161,17 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "t.key", "t.type", "doc_seq", (F.col("start") + F.col("offset")).alias("pos"))
 
 
-def _whole(occ: DataFrame) -> DataFrame | None:
-    """The tokens of occurrences() with those of a chunk together, in their order. None if a chunk is too large, or for tokens
-    that are not occurrences()'s own table."""
+def are_whole(occ: DataFrame) -> bool:
+    """Whether occ is a table of occurrences() whose chunks are small enough for one task each."""
     rows = getattr(occ, "placed", None)
-    if rows is None or rows.most > wholes.WHOLE:
+    return rows is not None and rows.most <= wholes.WHOLE
+
+
+def _whole(occ: DataFrame) -> DataFrame | None:
+    """The tokens of occurrences() with those of a chunk together, in their order. None if not are_whole()."""
+    if not are_whole(occ):
         return None
-    return _occurrences(rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "doc_seq"))
+    return _occurrences(occ.placed.repartition("chunk_id").sortWithinPartitions("chunk_id", "doc_seq"))
 
 
 def deltas(occ: DataFrame) -> DataFrame:

@@ -54,10 +54,13 @@ def write_index(parsed: DataFrame, folder: str, max_docs: int = index.MAX_DOCS,
     spark, staged = parsed.sparkSession, f"{folder}/_staged-{uuid.uuid4().hex}"
     if parsed.isEmpty():
         return next_chunk(spark, folder)
-    rows = index.placed(parsed, max_docs, max_words)
-    rows.select("doc_seq", "url", F.col("chunk_id").alias("chunk")).write.partitionBy("chunk").parquet(f"{staged}/table=documents")
-    lists = index.postings(index.occurrences(parsed, max_docs, max_words)).withColumnRenamed("chunk_id", "chunk")
-    lists.repartition("chunk", "key").sortWithinPartitions("chunk", "key").write.partitionBy("chunk").parquet(f"{staged}/table=postings")
+    occ = index.occurrences(parsed, max_docs, max_words)
+    rows = occ.placed.select("doc_seq", "url", F.col("chunk_id").alias("chunk"))
+    rows.repartition("chunk").write.partitionBy("chunk").parquet(f"{staged}/table=documents")
+    lists = index.postings(occ).withColumnRenamed("chunk_id", "chunk")
+    if not index.are_whole(occ):  # else a chunk's lists are in one task, and make one file
+        lists = lists.repartition("chunk", "key")
+    lists.sortWithinPartitions("chunk", "key").write.partitionBy("chunk").parquet(f"{staged}/table=postings")
     while True:
         first = next_chunk(spark, folder)
         if _publish(spark, staged, f"{folder}/first={first}"):
