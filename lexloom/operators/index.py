@@ -1,7 +1,7 @@
 """Positional inverted index: typed tokens, chunks, positions, posting lists and seek tables.
 
 Tokens explode behind the last shuffle: pages move to their chunks' tasks, and a chunk's lists are made from arrays of all its
-tokens (wholes.py). Only where a chunk is too large for that, and for token tables of other origin, are (chunk, key, position)
+tokens (wholes.py). Plain texts move as they are and are split there. Only where a chunk is too large for that, and for token tables of other origin, are (chunk, key, position)
 rows shuffled. Positions need prefix sums over documents, one narrow row each, and never over tokens. Sums and chunk borders come from range partitions and the totals of those
 before them, so no task sees all documents.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import ascii_lower
 from lexloom.operators import wholes
 from lexloom.session import materialize
+from lexloom.sources.pages import parse_text, text_url
 
 MAX_DOCS, MAX_WORDS = 5000, 800_000
 
@@ -134,8 +135,12 @@ def placed(parsed: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WOR
     """parsed with chunk_id, doc_seq and start, by assign_chunks(). Rows that repeat an id go in the order of their content's
     hash; rows equal in everything are documents one after another. The join is on id and hash: pages are moved if the table
     of places is above Spark's broadcast threshold."""
-    keyed = parsed.withColumn("content", F.xxhash64("url", "body", "head", "title", "links"))
-    places = materialize(assign_chunks(keyed.select("doc_id", "content", token_count(parsed).alias("n_tokens")), max_docs, max_words), "places")
+    return _placed(parsed.withColumn("content", F.xxhash64("url", "body", "head", "title", "links")), token_count(parsed), max_docs, max_words)
+
+
+def _placed(keyed: DataFrame, n_tokens: Column, max_docs: int, max_words: int) -> DataFrame:
+    """placed() of rows with doc_id and content, the hash."""
+    places = materialize(assign_chunks(keyed.select("doc_id", "content", n_tokens.alias("n_tokens")), max_docs, max_words), "places")
     most = places.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] or 0
     places = places.select(F.col("doc_id").alias("place id"), F.col("content").alias("place content"), "chunk_id", "doc_seq", "start")
     same = F.col("doc_id").eqNullSafe(F.col("place id")) & (F.col("content") == F.col("place content"))
@@ -156,6 +161,16 @@ def occurrences(parsed: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MA
     return out
 
 
+def text_occurrences(texts: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """occurrences() of parse_text(texts), of which ids and texts alone are moved and hashed, never lists of words."""
+    texts = texts.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("content", F.xxhash64("text"))
+    rows = _placed(texts, wholes.word_count(F.col("text")) + 2, max_docs, max_words)
+    pages_ = parse_text(rows, "chunk_id", "doc_seq", "start")
+    out = _occurrences(pages_)
+    pages_.most, out.placed, out.texts = rows.most, pages_, rows
+    return out
+
+
 def _occurrences(rows: DataFrame) -> DataFrame:
     rows = rows.select("chunk_id", "doc_seq", "start", F.posexplode(token_list(rows)).alias("offset", "t"))
     return rows.select("chunk_id", "t.key", "t.type", "doc_seq", (F.col("start") + F.col("offset")).alias("pos"))
@@ -168,10 +183,13 @@ def are_whole(occ: DataFrame) -> bool:
 
 
 def _whole(occ: DataFrame) -> DataFrame | None:
-    """The tokens of occurrences() with those of a chunk together, in their order. None if not are_whole()."""
+    """The tokens of occurrences(), or the texts of text_occurrences(), with those of a chunk together, in their order. None
+    if not are_whole()."""
     if not are_whole(occ):
         return None
-    return _occurrences(occ.placed.repartition("chunk_id").sortWithinPartitions("chunk_id", "doc_seq"))
+    texts = getattr(occ, "texts", None)
+    rows = (occ.placed if texts is None else texts).repartition("chunk_id").sortWithinPartitions("chunk_id", "doc_seq")
+    return _occurrences(rows) if texts is None else rows.select("chunk_id", "doc_seq", "start", text_url(F.col("doc_id")).alias("url"), "text")
 
 
 def deltas(occ: DataFrame) -> DataFrame:
@@ -277,6 +295,14 @@ def postings(occ: DataFrame) -> DataFrame:
     )
 
 
+def postings_as_text(occ: DataFrame) -> DataFrame:
+    """postings() with deltas joined by commas, and seek's index:location likewise."""
+    if (tokens_ := _whole(occ)) is not None:
+        return wholes.postings(tokens_, as_text=True)
+    seek = F.transform("seek", lambda x: F.concat(x["index"].cast("string"), F.lit(":"), x["location"].cast("string")))
+    return postings(occ).withColumns({"deltas": F.array_join(F.col("deltas").cast("array<string>"), ","), "seek": F.array_join(seek, ",")})
+
+
 def documents(parsed: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> DataFrame:
     """chunk_id, doc_seq, url."""
     return placed(parsed, max_docs, max_words).select("chunk_id", "doc_seq", "url")
@@ -306,7 +332,7 @@ def document_of(occ: DataFrame, pos: DataFrame) -> DataFrame:
     in order already where chunks are whole."""
     if pos is occ and (tokens_ := _whole(occ)) is not None:
         end = (F.col("key") == END_OF_DOCUMENT) & (F.col("type") == TYPES["end"])
-        return wholes.document_of_all(tokens_.select("chunk_id", "pos", "doc_seq", end.alias("end")))
+        return wholes.document_of_all(tokens_ if "text" in tokens_.columns else tokens_.select("chunk_id", "pos", "doc_seq", end.alias("end")))
     ends = occ.filter(F.col("key") == END_OF_DOCUMENT).filter(F.col("type") == TYPES["end"]).select("chunk_id", "pos", F.col("doc_seq").alias("end_seq"), F.lit(False).alias("asked"))
     both = ends.unionByName(pos.select("chunk_id", "pos", F.lit(None).cast("long").alias("end_seq"), F.lit(True).alias("asked")))
     w = Window.partitionBy("chunk_id").orderBy(F.desc("pos"), "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)

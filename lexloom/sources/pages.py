@@ -51,12 +51,16 @@ def parse_html(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     return base.select("doc_id", "url", "service", "host", "body", "head", "title", links.alias("links"))
 
 
-def parse_text(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Plain texts as pages without title, headings or links, under the url doc://<id>."""
+def text_url(doc_id: Column) -> Column:
+    return F.concat(F.lit("doc://"), doc_id.cast("string"))
+
+
+def parse_text(df: DataFrame, *others: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Plain texts as pages without title, headings or links, under the url doc://<id>; and other columns as they are."""
     none = F.array().cast("array<string>")
     return df.select(
-        F.col(id_col).alias("doc_id"), F.concat(F.lit("doc://"), F.col(id_col).cast("string")).alias("url"), F.lit("doc").alias("service"), F.lit("").alias("host"),
-        words(F.col(text_col)).alias("body"), none.alias("head"), none.alias("title"), F.array().cast("array<struct<url:string,anchor:array<string>>>").alias("links"),
+        F.col(id_col).alias("doc_id"), text_url(F.col(id_col)).alias("url"), F.lit("doc").alias("service"), F.lit("").alias("host"),
+        words(F.col(text_col)).alias("body"), none.alias("head"), none.alias("title"), F.array().cast("array<struct<url:string,anchor:array<string>>>").alias("links"), *others,
     )
 
 
